@@ -25,23 +25,6 @@ best AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict
 SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """
 
-LINE_DEDUP = rf"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no FROM documents),
-w AS (SELECT doc_id, no, list_distinct({_WORDS.format(text=_FOLD.replace("text", "line"))}) AS w FROM l),
-full_lines AS (SELECT doc_id, no, list_sort(w) AS w FROM w WHERE len(w) > 0),
-c AS (SELECT w, row_number() OVER (ORDER BY min((doc_id, no))) AS id, min((doc_id, no)) AS place FROM full_lines GROUP BY w),
-t AS (SELECT id, len(w) AS n, unnest(w) AS t FROM c),
-p AS (SELECT a.id AS x, b.id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND b.id < a.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY a.id, b.id),
-best AS (SELECT x, min(y) AS y FROM p WHERE 100 * k >= 80 * (nx + ny - k) GROUP BY x),
-first_place AS (SELECT c.w, coalesce(f.place, c.place) AS place FROM c LEFT JOIN best b ON b.x = c.id LEFT JOIN c f ON f.id = b.y),
-gone AS (SELECT doc_id, no FROM full_lines JOIN first_place USING (w) WHERE place < (doc_id, no))
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed,
-       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
-FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
-LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS text FROM l ANTI JOIN gone USING (doc_id, no) GROUP BY doc_id) k USING (doc_id)
-"""
-
-
 def quality_rules() -> str:
     from . import quality_rules as q
 
@@ -80,7 +63,6 @@ FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": NGRAM_JOIN,
     "op2_url_filters": URL_FILTERS,
-    "op5_line_dedup": LINE_DEDUP,
     "op7_quality_rules": quality_rules(),
     "op8_substring_dedup": SUBSTRING_DEDUP,
 }
