@@ -175,8 +175,40 @@ def _rows(*cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "x", "y", "n", "pos", "first", "sub"])
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bitmap of at least as many bits as the set has hashes: bit i tells whether an odd number of hashes end in i."""
+    b = max(64, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1, bitorder="little").tobytes()
+
+
+def possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) that bitmaps don't rule out; bits: node, n, bits, one row a node.
+
+    Bitmaps of two sets differ in no more bits than the sets have hashes in one of them only, so they bound the
+    overlap from above; a pair whose bound is under what its sizes ask for is discarded.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for i, (nx, a, ny, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
+                a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+                while len(a) > len(b):
+                    a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+                while len(b) > len(a):
+                    b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+                most = (nx + ny - int(np.bitwise_count(a ^ b).sum())) // 2
+                if (num + den) * most >= num * (nx + ny):
+                    ok.append(i)
+            yield batch.select([0, 1]).take(pa.array(ok, pa.int64()))
+
+    one = pairs.join(bits.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx")), "x")
+    two = one.join(bits.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by")), "y")
+    return written(two.select("x", "y", "nx", "bx", "ny", "by").mapInArrow(keep, "x long, y long"))
+
+
 def verified(df: DataFrame, sets: Sets, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs of nodes (x, y: written, distinct), the similar ones as keys (x, y)."""
+    """Of the pairs of nodes (x, y: written, distinct, best few), the similar ones as keys (x, y)."""
     spark = df.sparkSession
     nodes = pairs.select(F.explode(F.array("x", "y")).alias("node"))
     bits = _sketch.bucket_sums(nodes, lambda b: iter([mix(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))]), FILTER_BITS, 1, _sketch.bitmap)
@@ -200,8 +232,7 @@ def verified(df: DataFrame, sets: Sets, pairs: DataFrame, num: int, den: int) ->
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    held = df.mapInArrow(arrays, "node long, key binary, s binary").join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node", "key"])
-    held = written(held)
+    held = written(df.mapInArrow(arrays, "node long, key binary, s binary").dropDuplicates(["node", "key"]))
     one = pairs.join(held.select(F.col("node").alias("x"), F.col("key").alias("kx"), F.col("s").alias("sx")), "x")
     two = one.join(held.select(F.col("node").alias("y"), F.col("key").alias("ky"), F.col("s").alias("sy")), "y")
     out = written(two.select(F.least("kx", "ky").alias("x"), F.greatest("kx", "ky").alias("y"), F.when(F.col("kx") < F.col("ky"), F.col("sx")).otherwise(F.col("sy")).alias("sx"), F.when(F.col("kx") < F.col("ky"), F.col("sy")).otherwise(F.col("sx")).alias("sy")).mapInArrow(compare, "x binary, y binary"))

@@ -55,11 +55,11 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = [s for _, s in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in every], pa.int64()), binary16(keys(every))], ["id", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in every], pa.int64()), binary16(k := keys(every)), pa.array(k[:, 0].view(np.int64)), pa.array([_setjoin.parity_bits(s) if len(s) else None for s in every], pa.binary())], ["id", "n_shingles", "key", "node", "bits"])
 
-    marks = docs.select(F.col(id_column).alias("id"), F.col(text_column)).mapInArrow(fingerprint, f"id {id_type.simpleString()}, n_shingles long, key binary")
+    marks = docs.select(F.col(id_column).alias("id"), F.col(text_column)).mapInArrow(fingerprint, f"id {id_type.simpleString()}, n_shingles long, key binary, node long, bits binary")
     marks = written(marks)
-    labels = _labels(df, sets, num, den)
+    labels = _labels(df, marks, sets, num, den)
     least = marks.where("n_shingles > 0").groupBy("key").agg(F.min("id").alias("least"))
     named = least.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("key", "component_id")
@@ -67,11 +67,12 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     return out.select(F.col("id").alias(id_column), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _labels(df: DataFrame, sets: _setjoin.Sets, num: int, den: int) -> DataFrame:
+def _labels(df: DataFrame, marks: DataFrame, sets: _setjoin.Sets, num: int, den: int) -> DataFrame:
     levels = _setjoin.order_levels(df, sets)
     found = written(_setjoin.candidates(df, sets, num, den, levels))
     pairs = written(found.where("kind = 0").select("x", "y").distinct())
-    links = _setjoin.verified(df, sets, pairs, num, den)
+    bits = marks.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("bits").alias("bits"))
+    links = _setjoin.verified(df, sets, _setjoin.possible(pairs, bits, num, den), num, den)
     labels = written(_setjoin.components(links))
     # what long lists have left: pairs of sets in different components
     node = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
@@ -89,7 +90,7 @@ def _labels(df: DataFrame, sets: _setjoin.Sets, num: int, den: int) -> DataFrame
         & ((num + den) * most >= num * (F.col("a.n") + F.col("b.n")))
     )
     rest = a.join(b, near).select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct()
-    rest = written(rest.join(pairs, ["x", "y"], "left_anti"))
+    rest = _setjoin.possible(written(rest.join(pairs, ["x", "y"], "left_anti")), bits, num, den)
     if rest.isEmpty():
         return labels
     more = _setjoin.verified(df, sets, rest, num, den)
