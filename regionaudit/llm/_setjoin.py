@@ -105,7 +105,7 @@ def candidates(df: DataFrame, sets: Sets, num: int, den: int, levels: np.ndarray
                     rows["first"], rows["sub"] = first[i], sub[i]
                 held.append((rows, (lead % np.uint64(blocks)).astype(np.int64)))
                 n += len(lead)
-            if n > 1 << 20:
+            if n > 1 << 18:
                 yield packed()
                 held, n = [], 0
         if held:

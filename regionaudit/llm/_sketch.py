@@ -24,22 +24,28 @@ def bucket_sums(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nd
     width = (1 << bits) // PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, n = np.zeros(1 << bits, np.uint32), [], 0
+        at, total, held, n = np.empty(0, np.uint32), np.empty(0, np.int64), [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            new, many = np.unique(np.concatenate(held), return_counts=True)
+            every, place = np.unique(np.concatenate([at, new]), return_inverse=True)
+            return every, np.bincount(place, np.concatenate([total, many]), len(every)).astype(np.int64)
+
         for batch in batches:
             for h in hashes(batch):
                 held.append((h & np.uint64((1 << bits) - 1)).astype(np.uint32))
                 n += len(h)
-                if n > 1 << 22:
-                    total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+                if n > 1 << 20:
+                    at, total = summed()
                     held, n = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
-        at = np.flatnonzero(total >= least).astype(np.uint32)
+            at, total = summed()
+        at, total = at[total >= least], total[total >= least].astype(np.uint32)
         cuts = np.searchsorted(at, np.arange(PARTS + 1) * width)
         for p in range(PARTS):
             own = at[cuts[p] : cuts[p + 1]]
             if len(own):
-                yield pa.RecordBatch.from_pylist([{"part": p, "at": own.tobytes(), "n": total[own].tobytes()}], pa.schema([("part", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
+                yield pa.RecordBatch.from_pylist([{"part": p, "at": own.tobytes(), "n": total[cuts[p] : cuts[p + 1]].tobytes()}], pa.schema([("part", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}

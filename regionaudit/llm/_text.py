@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes handled at once; arrays of eight bytes for each are held while a chunk is worked on.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _UNBASE = U(pow(int(_BASE), -1, 1 << 64))
