@@ -28,7 +28,7 @@ from ._text import binary16, keys, mix
 SHORT = 8
 #: Of a long list sorted by size, every set is paired with the first of each run of so many.
 RUN = 64
-ORDER_BITS, FILTER_BITS = 22, 25
+ORDER_BITS, FILTER_BITS = 24, 25
 
 #: From a batch: lists of sets, with the place (two numbers to order by) where each was met.
 Sets = Callable[[pa.RecordBatch], Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]]
@@ -37,7 +37,7 @@ _POSTING = np.dtype([("h", "<u4"), ("node", "<u8"), ("n", "<u4"), ("pos", "<u4")
 _SMALL = np.dtype(_POSTING.descr[:4])
 
 
-def order_levels(df: DataFrame, sets: Sets, least: int = 8) -> np.ndarray:
+def order_levels(df: DataFrame, sets: Sets, least: int = 3) -> np.ndarray:
     """How frequent hashes are, by bucket; ``least``: see _sketch.bucket_sums."""
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -207,6 +207,76 @@ def possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame
     return written(two.select("x", "y", "nx", "bx", "ny", "by").mapInArrow(keep, "x long, y long"))
 
 
+#: Members of a long list that are compared in one group; longer lists are cut into tiles, compared two by two.
+TILE = 4096
+
+
+def remaining(wide: DataFrame, bits: DataFrame, num: int, den: int, placed: bool = False) -> DataFrame:
+    """Pairs (x, y) of members of one long list that still matter and that size, position and bitmap allow, each pair once.
+
+    wide: list, x, n, pos and what tells whether a pair matters.  Not placed: label, which must differ.  Placed:
+    place and best (structs first, sub): one's place must be before the other's best.  A pair that several lists
+    share comes from the least of them.
+    """
+    parts = max(1, int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lists = wide.groupBy("x").agg(F.sort_array(F.collect_set("list")).alias("lists"))
+    nodes = lists.join(bits.select(F.col("node").alias("x"), "bits"), "x")
+    tiles = wide.groupBy("list").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tags = ["place.first", "place.sub", "best.first", "best.sub"] if placed else [F.xxhash64("label"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long")]
+    tags = [(F.col(t) if isinstance(t, str) else t).alias(f"t{i}") for i, t in enumerate(tags)]
+    rows = wide.select("list", "x", "n", "pos", *tags).join(tiles, "list").withColumn("tile", F.pmod(F.xxhash64("x"), "tiles").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("list", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "x", "n", "pos", "t0", "t1", "t2", "t3").join(nodes, "x")
+    rows = rows.select("list", "a", "b", "tile", "x", "n", "pos", "t0", "t1", "t2", "t3", "bits", "lists").repartition(parts, "list", "a", "b").sortWithinPartitions("list", "a", "b", "n")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != now:
+                    if len(held) > 1:
+                        yield _compared(held, num, den, placed)
+                    now, held = row[:3], []
+                held.append((*row[3:], row[0]))
+        if len(held) > 1:
+            yield _compared(held, num, den, placed)
+
+    return written(rows.mapInArrow(compare, "x long, y long"))
+
+
+def _compared(held: list[tuple], num: int, den: int, placed: bool) -> pa.RecordBatch:
+    tile, x, n, pos = (np.array([h[k] for h in held], np.int64) for k in range(4))
+    tags = np.array([h[4:8] for h in held], np.int64)
+    if placed:
+        ranks = np.unique(np.concatenate([tags[:, :2], tags[:, 2:]]), axis=0, return_inverse=True)[1].reshape(-1)
+        place, best = ranks[: len(held)], ranks[len(held) :]
+    raw = [np.frombuffer(h[8], np.uint8) for h in held]
+    at_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for width in {len(b) for b in raw}:
+        own = [i for i, b in enumerate(raw) if len(b) in (width, 2 * width)]
+        matrix = np.stack([raw[i] if len(raw[i]) == width else raw[i][:width] ^ raw[i][width:] for i in own])
+        at_width[width] = np.array(own), matrix
+    one, two = [], []
+    shared, crossed = held[0][10], tile.min() != tile.max()
+    for i in range(len(held) - 1):
+        own, matrix = at_width[len(raw[i])]
+        j = slice(np.searchsorted(own, i, "right"), np.searchsorted(own, np.searchsorted(n, n[i] * den // num, "right")))
+        c = own[j]
+        differ = ((place[c] < best[i]) | (place[i] < best[c])) if placed else tags[c, 0] != tags[i, 0]
+        most = np.minimum(pos[c], pos[i]) + np.minimum(n[c] - pos[c], n[i] - pos[i])
+        ok = np.flatnonzero(differ & (x[c] != x[i]) & ((num + den) * most >= num * (n[c] + n[i])))
+        ok = ok[tile[c[ok]] != tile[i]] if crossed else ok
+        if not len(ok):
+            continue
+        apart = np.bitwise_count(matrix[j][ok] ^ raw[i]).sum(axis=1, dtype=np.int64)
+        for k in c[ok[(num + den) * ((n[c[ok]] + n[i] - apart) // 2) >= num * (n[c[ok]] + n[i])]].tolist():
+            common = np.intersect1d(held[i][9], held[k][9], assume_unique=True)
+            if common[0] == shared:
+                one.append(min(int(x[i]), int(x[k])))
+                two.append(max(int(x[i]), int(x[k])))
+    return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["x", "y"])
+
+
 def verified(df: DataFrame, sets: Sets, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Of the pairs of nodes (x, y: written, distinct, best few), the similar ones as keys (x, y)."""
     spark = df.sparkSession

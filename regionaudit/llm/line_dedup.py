@@ -68,19 +68,9 @@ def line_matches(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     # members of long lists that have earlier members than the best so far
     wide = found.where("kind = 1").select("x", F.col("y").alias("list"), "n", "pos").join(marks.select(F.col("node").alias("x"), "key", "place"), "x").join(best.withColumnRenamed("place", "best"), "key")
     wide = written(wide.select("x", "list", "n", "pos", "place", "best"))
-    first = wide.groupBy("list").agg(F.min("place").alias("start"))
-    a, b, c = wide.alias("a"), wide.alias("b"), first.alias("c")
-    open_ = a.join(c, F.col("a.list") == F.col("c.list")).where(F.col("c.start") < F.col("a.best")).select("a.*").alias("a")
-    most = F.least("a.pos", "b.pos") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    near = (
-        (F.col("a.list") == F.col("b.list"))
-        & (F.col("b.place") < F.col("a.best"))
-        & (F.col("a.x") != F.col("b.x"))
-        & (num * F.greatest("a.n", "b.n") <= den * F.least("a.n", "b.n"))
-        & ((num + den) * most >= num * (F.col("a.n") + F.col("b.n")))
-    )
-    rest = open_.join(b, near).select(F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("y")).distinct()
-    rest = _setjoin.possible(written(rest.join(pairs, ["x", "y"], "left_anti")), bits, num, den)
+    some = wide.groupBy("list").agg((F.min("place") < F.max("best")).alias("open")).where("open").select("list")
+    rest = _setjoin.remaining(written(wide.join(some, "list", "left_semi")), bits, num, den, placed=True)
+    rest = written(rest.join(pairs, ["x", "y"], "left_anti"))
     if not rest.isEmpty():
         more = _earliest(marks, _setjoin.verified(df, _sets, rest, num, den))
         best = written(best.union(more).groupBy("key").agg(F.min("place").alias("place")))

@@ -79,18 +79,8 @@ def _labels(df: DataFrame, marks: DataFrame, sets: _setjoin.Sets, num: int, den:
     wide = found.where("kind = 1").select(F.col("x"), F.col("y").alias("list"), "n", "pos")
     wide = wide.join(labels.select(node.alias("x"), F.hex("label").alias("label")), "x", "left").withColumn("label", F.coalesce("label", F.hex("x")))
     mixed = wide.groupBy("list").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("list")
-    wide = written(wide.join(mixed, "list", "left_semi"))
-    a, b = wide.alias("a"), wide.alias("b")
-    most = F.least("a.pos", "b.pos") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    near = (
-        (F.col("a.list") == F.col("b.list"))
-        & (F.col("a.x") < F.col("b.x"))
-        & (F.col("a.label") != F.col("b.label"))
-        & (num * F.greatest("a.n", "b.n") <= den * F.least("a.n", "b.n"))
-        & ((num + den) * most >= num * (F.col("a.n") + F.col("b.n")))
-    )
-    rest = a.join(b, near).select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct()
-    rest = _setjoin.possible(written(rest.join(pairs, ["x", "y"], "left_anti")), bits, num, den)
+    wide = written(wide.drop("y").join(mixed, "list", "left_semi"))
+    rest = written(_setjoin.remaining(wide, bits, num, den).join(pairs, ["x", "y"], "left_anti"))
     if rest.isEmpty():
         return labels
     more = _setjoin.verified(df, sets, rest, num, den)
