@@ -27,11 +27,11 @@ def cluster_interval(df: DataFrame, cluster: str, terms: dict[str, Column], stat
     Null bounds where under half of the resamples give a finite statistic.
     """
     sums = df.groupBy(group, cluster).agg(*[F.sum(e).cast("double").alias(n) for n, e in terms.items()])
-    kind = sums.schema[group].dataType.simpleString()
+    kind, names = sums.schema[group].dataType.simpleString(), list(terms)
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(cluster)
-        table = g[list(terms)].to_numpy()
+        table = g[names].to_numpy()
         draws = resample(table, statistic, iterations, seed)
         finite = draws[np.isfinite(draws)]
         low, high = np.percentile(finite, [2.5, 97.5]) if len(finite) >= max(1, iterations // 2) else (None, None)

@@ -1,10 +1,4 @@
-"""Queries by name, and their SQL."""
+"""All queries by name, and their SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from . import candidates, health, rasters, scoring, triage  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
