@@ -25,14 +25,16 @@ from ._scratch import new_path
 MAGIC = b"rans1"
 LANES, BLOCK, SCALE_BITS = 32, 1 << 15, 18
 #: A segment is closed at so many ids; a longer document is a segment of its own.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 21
 END_ID = 2
 U = np.uint64
 _LOW = U(1 << 31)
 
 _PLAIN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space other than blanks and line feeds, and separators on whose class libraries differ.
-_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_OTHER_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_OTHER_SPACE = _OTHER_ASCII + "".join(map(chr, [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
+_CUTTABLE = re.compile(f"[ \n]+[^ \n{_OTHER_SPACE}]+")
 
 
 # --- coding ------------------------------------------------------------------------------------------------
@@ -127,8 +129,62 @@ def _tokenizer(path: str):
     return out
 
 
-_known: dict[str, dict[str, np.ndarray]] = {}
-_MOST_KNOWN = 1 << 19
+@lru_cache(2)
+def _token_bytes(path: str) -> np.ndarray:
+    """How many bytes each id stands for: in the byte-level alphabet a character is a byte."""
+    vocabulary = _tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        out[i] = len(token)
+    return out
+
+
+class _Pieces:
+    """Ids of pieces met so far: piece k has ids[starts[k]:starts[k] + sizes[k]]."""
+
+    MOST = 1 << 20
+
+    def __init__(self, path: str):
+        self.path, self.place = path, {}
+        self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def lookup(self, pieces: list[str]) -> np.ndarray:
+        if len(self.place) > self.MOST:
+            self.__init__(self.path)
+        new = [p for p in pieces if p not in self.place]
+        if new:
+            # between pieces that start with white space and end without, a text can be cut: encode many at once
+            plain, odd = [], []
+            for p in new:
+                (plain if _CUTTABLE.fullmatch(p) else odd).append(p)
+            self._add(odd, *self._apart(odd))
+            together = [self._together(plain[low : low + 4096]) for low in range(0, len(plain), 4096)]
+            if together:
+                self._add(plain, *(np.concatenate(x) for x in zip(*together, strict=True)))
+        return np.fromiter((self.place[p] for p in pieces), np.int64, len(pieces))
+
+    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in _tokenizer(self.path).encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for own in ids for i in own], np.uint32), np.array([len(own) for own in ids], np.int64)
+
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(_tokenizer(self.path).encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        upto = np.cumsum(_token_bytes(self.path)[ids])
+        cuts = np.searchsorted(upto, ends)
+        if len(upto) and upto[-1] == ends[-1] and (upto[cuts] == ends).all():
+            return ids, np.diff(cuts, prepend=-1)
+        return self._apart(pieces)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        for k, p in enumerate(pieces, len(self.starts)):
+            self.place[p] = k
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+
+
+_known: dict[str, _Pieces] = {}
 
 
 def tokenize(path: str, texts: list[str]) -> list[np.ndarray]:
@@ -138,15 +194,14 @@ def tokenize(path: str, texts: list[str]) -> list[np.ndarray]:
     start with a run of blanks or line feeds have ids of their own, and repeated pieces are encoded once.
     Texts with other white space are encoded whole.
     """
-    tokenizer, known = _tokenizer(path), _known.setdefault(path, {})
-    if len(known) > _MOST_KNOWN:
-        known.clear()
-    pieces = [[x] if _OTHER_SPACE.search(x) else _PLAIN.findall(x) for x in texts]
-    new = list({p for own in pieces for p in own if p not in known})
-    for low in range(0, len(new), 4096):
-        for p, e in zip(part := new[low : low + 4096], tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, np.uint32)
-    return [np.concatenate([known[p] for p in own]) if own else np.empty(0, np.uint32) for own in pieces]
+    known = _known.setdefault(path, _Pieces(path))
+    pieces = [[x] if any(c in x for c in (_OTHER_ASCII if x.isascii() else _OTHER_SPACE)) else _PLAIN.findall(x) for x in texts]
+    coded = pa.array([p for own in pieces for p in own], pa.string()).dictionary_encode()
+    place = known.lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    sizes = known.sizes[place]
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    ids = known.ids[np.repeat(known.starts[place] - total[:-1], sizes) + np.arange(total[-1])]
+    return np.split(ids, total[np.cumsum([len(own) for own in pieces])[:-1]])
 
 
 # --- store -------------------------------------------------------------------------------------------------
@@ -178,8 +233,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
         held = 0
         for batch in batches:
             kind = batch.schema.field(0).type
-            for low in range(0, batch.num_rows, 256):
-                some = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, 2048):
+                some = batch.slice(low, 2048)
                 for name, own in zip(some.column(0).to_pylist(), tokenize(tokenizer_path, some.column(1).to_pylist()), strict=True):
                     ids.append(np.concatenate([own, end]))
                     names.append(name)
