@@ -111,3 +111,10 @@ def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: st
     return judged(docs, text_column).select(
         F.col(f"row.{id_column}").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def kept_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """The rows of docs that the rules keep."""
+    # a non-deterministic term keeps the filter above the measures: pushed down, it would copy them into itself again and again
+    stays = F.col("kept") & (F.monotonically_increasing_id() >= 0)
+    return judged(docs, text_column).select("row", stays.alias("stays")).where("stays").select("row.*")
