@@ -175,9 +175,9 @@ def _rows(*cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "x", "y", "n", "pos", "first", "sub"])
 
 
-def parity_bits(s: np.ndarray) -> bytes:
-    """A bitmap of at least as many bits as the set has hashes: bit i tells whether an odd number of hashes end in i."""
-    b = max(64, 1 << (len(s) - 1).bit_length())
+def parity_bits(s: np.ndarray, most: int = 1 << 62) -> bytes:
+    """A bitmap of as many bits as the set has hashes or more, unless over ``most``: bit i tells whether an odd number of hashes end in i."""
+    b = min(most, max(64, 1 << (len(s) - 1).bit_length()))
     return np.packbits(np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1, bitorder="little").tobytes()
 
 
@@ -209,18 +209,21 @@ def possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame
 
 #: Members of a long list that are compared in one group; longer lists are cut into tiles, compared two by two.
 TILE = 4096
+#: Bits of the bitmaps that go with every membership; and so many lists of a set are named in it.
+SMALL_BITS, NAMED = 4096, 16
 
 
 def remaining(wide: DataFrame, bits: DataFrame, num: int, den: int, placed: bool = False) -> DataFrame:
-    """Pairs (x, y) of members of one long list that still matter and that size, position and bitmap allow, each pair once.
+    """Distinct pairs (x, y) of members of one long list that still matter and that size, position and bitmap allow.
 
     wide: list, x, n, pos and what tells whether a pair matters.  Not placed: label, which must differ.  Placed:
-    place and best (structs first, sub): one's place must be before the other's best.  A pair that several lists
-    share comes from the least of them.
+    place and best (structs first, sub): one's place must be before the other's best.  bits: node, small.
+    A pair that several lists share comes from the least of them; where that can't be told from the few lists
+    named in a row, from all, and repeats go afterwards.
     """
     parts = max(1, int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    lists = wide.groupBy("x").agg(F.sort_array(F.collect_set("list")).alias("lists"))
-    nodes = lists.join(bits.select(F.col("node").alias("x"), "bits"), "x")
+    lists = wide.groupBy("x").agg(F.slice(F.sort_array(F.collect_set("list")), 1, NAMED).alias("lists"))
+    nodes = lists.join(bits.select(F.col("node").alias("x"), F.col("small").alias("bits")), "x")
     tiles = wide.groupBy("list").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     tags = ["place.first", "place.sub", "best.first", "best.sub"] if placed else [F.xxhash64("label"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long")]
     tags = [(F.col(t) if isinstance(t, str) else t).alias(f"t{i}") for i, t in enumerate(tags)]
@@ -241,7 +244,7 @@ def remaining(wide: DataFrame, bits: DataFrame, num: int, den: int, placed: bool
         if len(held) > 1:
             yield _compared(held, num, den, placed)
 
-    return written(rows.mapInArrow(compare, "x long, y long"))
+    return rows.mapInArrow(compare, "x long, y long").distinct()
 
 
 def _compared(held: list[tuple], num: int, den: int, placed: bool) -> pa.RecordBatch:
@@ -271,7 +274,7 @@ def _compared(held: list[tuple], num: int, den: int, placed: bool) -> pa.RecordB
         apart = np.bitwise_count(matrix[j][ok] ^ raw[i]).sum(axis=1, dtype=np.int64)
         for k in c[ok[(num + den) * ((n[c[ok]] + n[i] - apart) // 2) >= num * (n[c[ok]] + n[i])]].tolist():
             common = np.intersect1d(held[i][9], held[k][9], assume_unique=True)
-            if common[0] == shared:
+            if not len(common) or common[0] == shared:
                 one.append(min(int(x[i]), int(x[k])))
                 two.append(max(int(x[i]), int(x[k])))
     return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["x", "y"])

@@ -56,21 +56,21 @@ def line_matches(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, k, first, sub in _setjoin._distinct(batches, _sets):
-            yield pa.RecordBatch.from_arrays([binary16(k), pa.array(k[:, 0].view(np.int64)), pa.array((first ^ _SIGN).view(np.int64)), pa.array(sub.astype(np.int64)), pa.array([len(s) for s in own], pa.int64()), pa.array([_setjoin.parity_bits(s) for s in own], pa.binary())], ["key", "node", "first", "sub", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([binary16(k), pa.array(k[:, 0].view(np.int64)), pa.array((first ^ _SIGN).view(np.int64)), pa.array(sub.astype(np.int64)), pa.array([len(s) for s in own], pa.int64()), pa.array([_setjoin.parity_bits(s) for s in own], pa.binary()), pa.array([_setjoin.parity_bits(s, _setjoin.SMALL_BITS) for s in own], pa.binary())], ["key", "node", "first", "sub", "n", "bits", "small"])
 
     place = F.struct("first", "sub")
-    marks = written(df.mapInArrow(mark, "key binary, node long, first long, sub long, n long, bits binary").groupBy("key", "node").agg(F.min(place).alias("place"), F.max("n").alias("n"), F.max("bits").alias("bits")))
+    marks = written(df.mapInArrow(mark, "key binary, node long, first long, sub long, n long, bits binary, small binary").groupBy("key", "node").agg(F.min(place).alias("place"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("small").alias("small")))
     levels = _setjoin.order_levels(df, _sets, least=2)
     found = written(_setjoin.candidates(df, _sets, num, den, levels, placed=True))
     pairs = written(found.where("kind = 0").select("x", "y").distinct())
-    bits = marks.groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    bits = marks.groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("small").alias("small"))
     best = written(_earliest(marks, _setjoin.verified(df, _sets, _setjoin.possible(pairs, bits, num, den), num, den)))
     # members of long lists that have earlier members than the best so far
     wide = found.where("kind = 1").select("x", F.col("y").alias("list"), "n", "pos").join(marks.select(F.col("node").alias("x"), "key", "place"), "x").join(best.withColumnRenamed("place", "best"), "key")
     wide = written(wide.select("x", "list", "n", "pos", "place", "best"))
     some = wide.groupBy("list").agg((F.min("place") < F.max("best")).alias("open")).where("open").select("list")
     rest = _setjoin.remaining(written(wide.join(some, "list", "left_semi")), bits, num, den, placed=True)
-    rest = written(rest.join(pairs, ["x", "y"], "left_anti"))
+    rest = _setjoin.possible(written(rest.join(pairs, ["x", "y"], "left_anti")), bits, num, den)
     if not rest.isEmpty():
         more = _earliest(marks, _setjoin.verified(df, _sets, rest, num, den))
         best = written(best.union(more).groupBy("key").agg(F.min("place").alias("place")))

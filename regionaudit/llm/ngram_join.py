@@ -55,9 +55,9 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = [s for _, s in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in every], pa.int64()), binary16(k := keys(every)), pa.array(k[:, 0].view(np.int64)), pa.array([_setjoin.parity_bits(s) if len(s) else None for s in every], pa.binary())], ["id", "n_shingles", "key", "node", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in every], pa.int64()), binary16(k := keys(every)), pa.array(k[:, 0].view(np.int64)), pa.array([_setjoin.parity_bits(s) if len(s) else None for s in every], pa.binary()), pa.array([_setjoin.parity_bits(s, _setjoin.SMALL_BITS) if len(s) else None for s in every], pa.binary())], ["id", "n_shingles", "key", "node", "bits", "small"])
 
-    marks = docs.select(F.col(id_column).alias("id"), F.col(text_column)).mapInArrow(fingerprint, f"id {id_type.simpleString()}, n_shingles long, key binary, node long, bits binary")
+    marks = docs.select(F.col(id_column).alias("id"), F.col(text_column)).mapInArrow(fingerprint, f"id {id_type.simpleString()}, n_shingles long, key binary, node long, bits binary, small binary")
     marks = written(marks)
     labels = _labels(df, marks, sets, num, den)
     least = marks.where("n_shingles > 0").groupBy("key").agg(F.min("id").alias("least"))
@@ -71,7 +71,7 @@ def _labels(df: DataFrame, marks: DataFrame, sets: _setjoin.Sets, num: int, den:
     levels = _setjoin.order_levels(df, sets)
     found = written(_setjoin.candidates(df, sets, num, den, levels))
     pairs = written(found.where("kind = 0").select("x", "y").distinct())
-    bits = marks.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("bits").alias("bits"))
+    bits = marks.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("bits").alias("bits"), F.max("small").alias("small"))
     links = _setjoin.verified(df, sets, _setjoin.possible(pairs, bits, num, den), num, den)
     labels = written(_setjoin.components(links))
     # what long lists have left: pairs of sets in different components
@@ -80,7 +80,7 @@ def _labels(df: DataFrame, marks: DataFrame, sets: _setjoin.Sets, num: int, den:
     wide = wide.join(labels.select(node.alias("x"), F.hex("label").alias("label")), "x", "left").withColumn("label", F.coalesce("label", F.hex("x")))
     mixed = wide.groupBy("list").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("list")
     wide = written(wide.drop("y").join(mixed, "list", "left_semi"))
-    rest = written(_setjoin.remaining(wide, bits, num, den).join(pairs, ["x", "y"], "left_anti"))
+    rest = _setjoin.possible(written(_setjoin.remaining(wide, bits, num, den).join(pairs, ["x", "y"], "left_anti")), bits, num, den)
     if rest.isEmpty():
         return labels
     more = _setjoin.verified(df, sets, rest, num, den)
