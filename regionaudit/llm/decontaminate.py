@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds find passages of test items, Smith-Waterman scores them.
 
-Each item keeps, of its word n-grams, those that are rarest in the corpus (counted over all documents): at
-least half of them, and all that are no more frequent than the median one.  A document that has a seed is
+Each item keeps, of its word n-grams, those that are rare in the corpus (counted over all documents): all but
+those many times as frequent as its median one, at least half of them.  A document that has a seed is
 aligned with the item around the seed's diagonal, by local alignment of words, and is reported if the score
 reaches a share of the item's score against itself.  Items go to the executors in blocks of bounded size.
 """
@@ -20,6 +20,8 @@ from ._text import Words, chunked
 
 SEED_WORDS, BLOCK_ITEMS = 4, 4096
 MATCH, MISMATCH, GAP = 2, 1, 1
+#: An n-gram so many times as frequent as its item's median one is no seed.
+COMMON = 8
 #: Share of the item's score against itself from which on a passage counts as a copy.
 LEAST_SCORE = 0.6
 
@@ -73,7 +75,7 @@ def _rare(block: dict, counts: dict[int, int]) -> dict:
     for i in range(len(block["ids"])):
         own = np.arange(*np.searchsorted(block["item"], [i, i + 1]))
         if len(own):
-            keep[own] = often[own] <= np.median(often[own])
+            keep[own] = often[own] <= COMMON * (1 + np.median(often[own]))
     order = np.flatnonzero(keep)[np.argsort(block["gram"][keep], kind="stable")]
     return block | {k: block[k][order] for k in ("gram", "item", "place")}
 
