@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._scratch import written
 from .quality_rules import n_words
 
 WEIGHTS = (3, 1, 2)
@@ -52,6 +53,7 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     cut = by_bucket.withColumn("upto", upto).alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
     cut = cut.where(F.col("upto") - F.col("words") < F.col("wanted")).groupBy("t.source").agg(F.max(F.struct("bucket", (F.col("wanted") - F.col("upto") + F.col("words")).alias("left"))).alias("last"))
     plan = targets.alias("t").join(cut.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.*", F.coalesce("last.bucket", F.lit(-1)).alias("cut"), "last.left")
+    plan = written(plan)  # a row a source; its known size lets Spark broadcast it, or not, so that a hot source isn't one task
     placed = sized.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.*", "source_size", "target", "whole", "cut", "left")
     clear = placed.where("bucket <> cut").withColumn("extra", (F.col("bucket") < F.col("cut")).cast("long"))
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, 0))
