@@ -26,6 +26,8 @@ from ._text import binary16, keys, mix
 
 #: A list this long or shorter gives all its pairs.
 SHORT = 8
+#: The same for sets with places, whose postings have a 64-bit bitmap that leaves few pairs.
+SHORT_PLACED = 128
 #: Of a long list sorted by size, every set is paired with the first of each run of so many.
 RUN = 64
 ORDER_BITS, FILTER_BITS = 24, 25
@@ -33,7 +35,7 @@ ORDER_BITS, FILTER_BITS = 24, 25
 #: From a batch: lists of sets, with the place (two numbers to order by) where each was met.
 Sets = Callable[[pa.RecordBatch], Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]]
 
-_POSTING = np.dtype([("h", "<u4"), ("node", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("first", "<u8"), ("sub", "<u4")])
+_POSTING = np.dtype([("h", "<u4"), ("node", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("first", "<u8"), ("sub", "<u4"), ("sig", "<u8")])
 _SMALL = np.dtype(_POSTING.descr[:4])
 
 
@@ -103,6 +105,7 @@ def candidates(df: DataFrame, sets: Sets, num: int, den: int, levels: np.ndarray
                 rows["h"], rows["node"], rows["n"], rows["pos"] = lead >> np.uint64(32), k[i, 0], len(s), np.arange(len(lead))
                 if placed:
                     rows["first"], rows["sub"] = first[i], sub[i]
+                    rows["sig"] = np.frombuffer(parity_bits(s, 64), np.uint64)
                 held.append((rows, (lead % np.uint64(blocks)).astype(np.int64)))
                 n += len(lead)
             if n > 1 << 18:
@@ -129,7 +132,11 @@ def _pairs_ok(p: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -
     na, nb = p["n"][a].astype(np.int64), p["n"][b].astype(np.int64)
     pa_, pb = p["pos"][a].astype(np.int64), p["pos"][b].astype(np.int64)
     most = np.minimum(pa_, pb) + 1 + np.minimum(na - pa_, nb - pb) - 1
-    return (p["node"][a] != p["node"][b]) & (num * np.maximum(na, nb) <= den * np.minimum(na, nb)) & ((num + den) * most >= num * (na + nb))
+    near = p["node"][a] != p["node"][b]
+    if "sig" in p.dtype.names:
+        apart = np.bitwise_count(p["sig"][a] ^ p["sig"][b])
+        near &= (num + den) * ((na + nb - apart) // 2) >= num * (na + nb)
+    return near & (num * np.maximum(na, nb) <= den * np.minimum(na, nb)) & ((num + den) * most >= num * (na + nb))
 
 
 def _block(block: int, p: np.ndarray, num: int, den: int, placed: bool) -> Iterator[pa.RecordBatch]:
@@ -144,10 +151,15 @@ def _block(block: int, p: np.ndarray, num: int, den: int, placed: bool) -> Itera
     where, length = np.repeat(starts, lengths), np.repeat(lengths, lengths)
     at = np.arange(len(p))
     one, two = [], []
-    for d in range(1, SHORT):
-        a = np.flatnonzero((length <= SHORT) & (at - where >= d))
-        one.append(a - d), two.append(a)
-    wide = np.flatnonzero(length > SHORT)
+    short = SHORT_PLACED if placed else SHORT
+    some = np.flatnonzero(length <= short)
+    for d in range(1, short):
+        some = some[(at - where)[some] >= d]
+        if not len(some):
+            break
+        ok = _pairs_ok(p, some - d, some, num, den)
+        one.append(some[ok] - d), two.append(some[ok])
+    wide = np.flatnonzero(length > short)
     if placed:
         one.append(where[wide]), two.append(wide)
     else:
