@@ -1,4 +1,4 @@
-"""Making the package importable in Python workers."""
+"""Making the package importable in Python workers, in batches of bounded size."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows of long texts or sets go to Python workers a few MB at a time, unless the application says otherwise.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each application; Python workers import it from there."""
@@ -21,5 +24,8 @@ def ship(spark: SparkSession) -> SparkSession:
             for file in sorted(root.rglob("*.py")):
                 z.write(file, f"{root.name}/{file.relative_to(root)}")
         spark.sparkContext.addPyFile(str(at))
+        for key, value in BATCHES.items():
+            if not spark.sparkContext.getConf().contains(key):
+                spark.conf.set(key, value)
         _shipped.add(app)
     return spark
