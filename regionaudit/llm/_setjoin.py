@@ -352,7 +352,9 @@ def components(edges: DataFrame) -> DataFrame:
         star = [(v, top(v)) for v in up if top(v) != v]
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in star], pa.binary()), pa.array([b for _, b in star], pa.binary())], ["v", "m"])
 
+    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
     stars = written(edges.select("x", "y").mapInArrow(contract, "v binary, m binary").distinct())
+    before = mark(stars)
     while True:
         both = stars.union(stars.select("m", "v"))
         least = both.groupBy("v").agg(F.min("m").alias("least")).withColumn("least", F.least("v", "least"))
@@ -360,9 +362,8 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("v").agg(F.min("m").alias("least"))
         small = large.join(lower, "v").where(F.col("m") != F.col("least")).select(F.col("m").alias("v"), F.col("least").alias("m")).union(lower)
         new = written(small.distinct())
-        mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
-        same = mark(new) == mark(stars)
+        after = mark(new)
         drop(stars)
-        stars = new
+        stars, same, before = new, after == before, after
         if same:
             return stars.select(F.col("v").alias("node"), F.col("m").alias("label")).union(stars.select("m", "m").distinct())
