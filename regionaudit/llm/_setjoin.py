@@ -9,6 +9,10 @@ last.  Leading hashes travel as packed arrays, one for each batch and block of h
 lists of sets under each hash are cut by size and position bounds.  Short lists give all their pairs;
 long ones give a linear number of pairs, and their members are kept in a table ("wide"), from which the
 caller takes whatever further pairs its result needs: nothing is dropped.
+
+Where sets ask for two common hashes at least, the list of a frequent hash may be split by the second common
+one: similar sets share their first two common hashes, and those stand among the n - ceil(t n) + 2 leading ones.
+Whether a hash is frequent is read from the sketch, so all sets that have it agree.
 """
 
 from __future__ import annotations
@@ -50,14 +54,34 @@ def order_levels(df: DataFrame, sets: Sets, least: int = 3) -> np.ndarray:
     return _sketch.bucket_sums(df, hashes, ORDER_BITS, least, _sketch.levels)
 
 
-def leading(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
-    n = len(s) - -(-num * len(s) // den) + 1
+def leading(s: np.ndarray, levels: np.ndarray, num: int, den: int, common: int = 1) -> np.ndarray:
+    """Of similar sets, the first ``common`` common hashes are among these."""
+    n = len(s) - -(-num * len(s) // den) + common
     rare = levels[s & np.uint64(len(levels) - 1)]
     if not rare.any():
         return s[:n]
     return s[np.argsort(rare, kind="stable")[:n]]
 
 
+def list_keys(s: np.ndarray, levels: np.ndarray, num: int, den: int, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Under which keys a set is listed, and the place of each key's first hash in it: a hash, or two where the first is frequent."""
+    if num <= den - num or not frequent:
+        lead = leading(s, levels, num, den)
+        return lead, np.arange(len(lead))
+    if len(s) * (den - num) < num:
+        return s[:0], np.arange(0)  # too small to be similar to any other set than its equals
+    every = leading(s, levels, num, den, 2)
+    level = levels[every[:-1] & np.uint64(len(levels) - 1)]
+    often = np.flatnonzero(level > _sketch.levels(np.array([frequent]))[0])
+    if not len(often):
+        return every[:-1], np.arange(len(every) - 1)
+    alone = np.flatnonzero(level <= _sketch.levels(np.array([frequent]))[0])
+    follow = len(every) - 1 - often
+    first = np.repeat(often, follow)
+    second = np.arange(follow.sum()) - np.repeat(np.cumsum(follow) - follow, follow) + first + 1
+    return np.concatenate([every[alone], mix(every[first] * np.uint64(0x9E3779B97F4A7C15) + every[second])]), np.concatenate([alone, first])
+
+
 def _distinct(batches: Iterator[pa.RecordBatch], sets: Sets, room: int = 1 << 20):
     """The sets of a task without repeats (of the last ``room`` sets or so); with places, repeats at an earlier place stay."""
     seen: dict[int, tuple] = {}
@@ -78,8 +102,11 @@ def _distinct(batches: Iterator[pa.RecordBatch], sets: Sets, room: int = 1 << 20
                 yield [own[i] for i in keep], k[keep], first[keep], sub[keep]
 
 
-def candidates(df: DataFrame, sets: Sets, num: int, den: int, levels: np.ndarray, placed: bool = False) -> DataFrame:
-    """Candidate pairs (kind 0: x, y, nodes) and members of long lists (kind 1: x node, y list, n, pos, first, sub)."""
+def candidates(df: DataFrame, sets: Sets, num: int, den: int, levels: np.ndarray, placed: bool = False, frequent: int = 0) -> DataFrame:
+    """Candidate pairs (kind 0: x, y, nodes) and members of long lists (kind 1: x node, y list, n, pos, first, sub).
+
+    frequent: lists of hashes met more often than that are split by a second hash (0: none are).
+    """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = 4 * parts
@@ -100,9 +127,11 @@ def candidates(df: DataFrame, sets: Sets, num: int, den: int, levels: np.ndarray
 
         for own, k, first, sub in _distinct(batches, sets):
             for i, s in enumerate(own):
-                lead = leading(s, shared.value, num, den)
+                lead, pos = list_keys(s, shared.value, num, den, frequent)
+                if not len(lead):
+                    continue
                 rows = np.empty(len(lead), dtype)
-                rows["h"], rows["node"], rows["n"], rows["pos"] = lead >> np.uint64(32), k[i, 0], len(s), np.arange(len(lead))
+                rows["h"], rows["node"], rows["n"], rows["pos"] = lead >> np.uint64(32), k[i, 0], len(s), pos
                 if placed:
                     rows["first"], rows["sub"] = first[i], sub[i]
                     rows["sig"] = np.frombuffer(parity_bits(s, 64), np.uint64)

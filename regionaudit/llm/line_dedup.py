@@ -20,6 +20,8 @@ from ._scratch import written
 from ._text import binary16, columns, keys, words
 
 NUM, DEN = 4, 5
+#: Lists of words met more often than that are split by a second word.
+FREQUENT = 256
 _SIGN = np.uint64(1 << 63)
 
 
@@ -50,7 +52,7 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], np.ndarray,
         yield sets, _place(batch.column(0), rows), lines.astype(np.uint64)
 
 
-def line_matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
+def line_matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", num: int = NUM, den: int = DEN, frequent: int = FREQUENT) -> DataFrame:
     """Keys of line sets with the earliest place (first: id, sub: line) of a set that is similar (or equal): key, first, sub."""
     df = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
 
@@ -61,7 +63,7 @@ def line_matches(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     place = F.struct("first", "sub")
     marks = written(df.mapInArrow(mark, "key binary, node long, first long, sub long, n long, bits binary, small binary").groupBy("key", "node").agg(F.min(place).alias("place"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("small").alias("small")))
     levels = _setjoin.order_levels(df, _sets, least=2)
-    found = written(_setjoin.candidates(df, _sets, num, den, levels, placed=True))
+    found = written(_setjoin.candidates(df, _sets, num, den, levels, placed=True, frequent=frequent))
     pairs = written(found.where("kind = 0").select("x", "y").distinct())
     bits = marks.groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("small").alias("small"))
     best = written(_earliest(marks, _setjoin.verified(df, _sets, _setjoin.possible(pairs, bits, num, den), num, den)))
@@ -85,7 +87,7 @@ def _earliest(marks: DataFrame, links: DataFrame) -> DataFrame:
     return own.union(far).groupBy("key").agg(F.min("place").alias("place"))
 
 
-def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", num: int = NUM, den: int = DEN, frequent: int = FREQUENT) -> DataFrame:
     """One row for each document: id_column, n_lines, n_removed and text, its remaining lines.
 
     Lines are parts between line feeds.  A line goes if its word set has a Jaccard similarity of num / den or
@@ -96,7 +98,7 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     id_type = docs.schema[id_column].dataType.simpleString()
     df = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    matches = line_matches(docs, id_column, text_column, num, den)
+    matches = line_matches(docs, id_column, text_column, num, den, frequent)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
