@@ -158,7 +158,6 @@ def bootstrap_f1(spark, sf_dir):
 
 @query()
 def bootstrap_miou(spark, sf_dir):
-    """Intervals of the kept share of pixels by weather, resampling clusters of frames."""
-    terms = {"o": F.when(F.col("stored_a") != "reject", F.col("pixel_count")).otherwise(0), "u": F.col("pixel_count")}
-    df = regions(ship(spark), sf_dir).withColumn("cluster", F.pmod(F.xxhash64("frame_id"), F.lit(1000)))
-    return stats.cluster_interval(df, "cluster", terms, stats.ratio, "weather", iterations=2000, seed=0)
+    """Intervals of the mIoU of both runs' kept pixels and of their paired difference, resampling frames within weather."""
+    kept = {run: F.when(F.col(f"stored_{run}") != "reject", F.col("pixel_count")).otherwise(0) for run in "ab"}
+    return stats.paired_miou(regions(ship(spark), sf_dir), "weather", "frame_id", "class_name", list(R.CLASSES), kept, F.col("pixel_count"))
