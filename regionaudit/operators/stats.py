@@ -111,33 +111,22 @@ def paired_miou(df: DataFrame, stratum: str, cluster: str, label: str, labels: l
     return drawn.groupBy().applyInPandas(work, "estimate string, clusters long, point double, mean double, low double, high double, share_le_0 double")
 
 
-def resample(sums: np.ndarray, statistic: Callable[[np.ndarray], np.ndarray], iterations: int, seed: int) -> np.ndarray:
-    """statistic of (draws, terms) sums, over ``iterations`` multinomial resamples of the rows."""
-    rng, n, out = np.random.default_rng(seed), len(sums), []
-    for low in range(0, iterations, 1024):
-        weights = rng.multinomial(n, np.full(n, 1 / n), size=min(1024, iterations - low))
-        out.append(statistic(weights @ sums))
-    return np.concatenate(out) if out else np.empty(0)
-
-
-def cluster_interval(df: DataFrame, cluster: str, terms: dict[str, Column], statistic: Callable[[np.ndarray], np.ndarray], group: str, iterations: int = 10_000, seed: int = 42) -> DataFrame:
+def cluster_interval(df: DataFrame, cluster: str, terms: dict[str, Column], statistic: Callable[[np.ndarray], np.ndarray], group: str, iterations: int = ITERATIONS, seed: int = 42) -> DataFrame:
     """Percentile interval (2.5 to 97.5) by group of a statistic of additive terms, resampling whole clusters.
 
     Null bounds where under half of the resamples give a finite statistic.
     """
-    sums = df.groupBy(group, cluster).agg(*[F.sum(e).cast("double").alias(n) for n, e in terms.items()])
+    sums = df.groupBy(group, cluster).agg(F.lit(1.0).alias("clusters"), *[F.sum(e).cast("double").alias(n) for n, e in terms.items()])
     kind, names = sums.schema[group].dataType.simpleString(), list(terms)
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(cluster)
-        table = g[names].to_numpy()
-        draws = resample(table, statistic, iterations, seed)
-        finite = draws[np.isfinite(draws)]
-        low, high = np.percentile(finite, [2.5, 97.5]) if len(finite) >= max(1, iterations // 2) else (None, None)
-        point = statistic(table.sum(axis=0, keepdims=True))[0]
-        return pd.DataFrame({group: [g[group].iloc[0]], "clusters": [len(g)], "point": [point], "low": [low], "high": [high]})
-
-    return sums.groupBy(group).applyInPandas(work, f"{group} {kind}, clusters long, point double, low double, high double")
+    def work(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("draw")
+        values = statistic(g[names].to_numpy())
+        low, high = bounds(values[1:])
+        return pd.DataFrame({group: [key[0]], "clusters": [int(g["clusters"].iloc[0])], "point": [values[0]], "low": [low], "high": [high]})
+
+    drawn = resampled(sums, group, cluster, ["clusters", *names], iterations, seed)
+    return drawn.groupBy(group).applyInPandas(work, f"{group} {kind}, clusters long, point double, low double, high double")
 
 
 def f1(sums: np.ndarray) -> np.ndarray:

@@ -152,8 +152,7 @@ def bootstrap_f1(spark, sf_dir):
     """Frame-clustered intervals of the F1 of run a by class."""
     keep, ok = F.col("stored_a") != "reject", F.col("human") == "correct"
     terms = {"tp": (keep & ok).cast("int"), "fp": (keep & ~ok).cast("int"), "fn": (~keep & ok).cast("int")}
-    df = regions(ship(spark), sf_dir).where("human IS NOT NULL").withColumn("cluster", F.pmod(F.xxhash64("frame_id"), F.lit(1000)))
-    return stats.cluster_interval(df, "cluster", terms, stats.f1, "class_name", iterations=2000)
+    return stats.cluster_interval(regions(ship(spark), sf_dir).where("human IS NOT NULL"), "frame_id", terms, stats.f1, "class_name")
 
 
 @query()

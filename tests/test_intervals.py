@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from regionaudit.functions import rules as R
 from regionaudit.operators import stats
@@ -48,3 +49,26 @@ def test_bootstrap_miou_is_paired_and_stratified(spark):
         assert got[name].point == pytest.approx(p) and close(got[name].mean, d.mean(), high - low)
         assert close(got[name].low, low, high - low) and close(got[name].high, high, high - low)
         assert got[name].share_le_0 == pytest.approx((d <= 0).mean(), abs=0.01)
+
+
+def test_bootstrap_f1_takes_frames(spark):
+    sf = "/root/testdata/sf0.01"  # over 1000 frames a class
+    tables = {}
+    for r in regions(spark, sf).where("human IS NOT NULL").select("class_name", "frame_id", "stored_a", "human").collect():
+        keep, ok = r.stored_a != "reject", r.human == "correct"
+        tables.setdefault(r.class_name, {}).setdefault(r.frame_id, np.zeros(3))[:] += keep & ok, keep & (not ok), (not keep) & ok
+    got = {r.class_name: r for r in QUERIES["bootstrap_f1"](spark, sf).collect()}
+    assert set(got) == set(tables)
+    for name, frames in tables.items():
+        t = np.stack([frames[f] for f in sorted(frames)])
+        rng = np.random.default_rng(42)
+        draws = np.concatenate([stats.f1(rng.multinomial(len(t), np.full(len(t), 1 / len(t)), size=500) @ t) for _ in range(20)])
+        low, high = np.percentile(draws, [2.5, 97.5])
+        assert got[name].clusters == len(t) > 1000 and got[name].point == pytest.approx(stats.f1(t.sum(0, keepdims=True))[0])
+        assert close(got[name].low, low, high - low) and close(got[name].high, high, high - low)
+
+
+def test_bounds_need_half_of_the_draws(spark):
+    df = spark.createDataFrame([("x", i, 0) for i in range(5)] + [("y", i, 1) for i in range(5)], "g string, c long, t int")
+    got = {r.g: (r.clusters, r.low, r.high) for r in stats.cluster_interval(df, "c", {"tp": F.col("t"), "fp": F.lit(0), "fn": F.lit(0)}, stats.f1, "g", iterations=200).collect()}
+    assert got == {"x": (5, None, None), "y": (5, 1.0, 1.0)}
