@@ -267,10 +267,10 @@ def apportion(spark, sf_dir):
 
 @query()
 def balanced_splits(spark, sf_dir):
-    """Split search by weather over the frames of the busiest days; quotas and shares are checked by tests."""
+    """Split search by weather over all of its frames: quotas are exact in each weather, classes are balanced over it."""
     from ..operators.splits import balanced
     from ..session import ship
 
     ship(spark)
-    df = regions(spark, sf_dir).groupBy("frame_id", F.concat("weather", F.substring("answered_at", 1, 7)).alias("cell")).pivot("class_name", list(R.CLASSES)).agg(F.sum("pixel_count")).na.fill(0)
-    return balanced(df, "cell", list(R.CLASSES), {"train": 0.65, "validation": 0.1, "test": 0.25})
+    df = regions(spark, sf_dir).groupBy("frame_id", "weather").pivot("class_name", list(R.CLASSES)).agg(F.sum("pixel_count")).na.fill(0)
+    return balanced(df, "weather", list(R.CLASSES), {"train": 0.65, "validation": 0.1, "test": 0.25})
