@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds find passages of test items, Smith-Waterman scores them.
+"""Benchmark decontamination: shared word pairs find passages of test items, Smith-Waterman scores them.
 
-Each item keeps, of its word n-grams, those that are rare in the corpus (counted over all documents): all but
-those many times as frequent as its median one, at least half of them.  A document that has a seed is
-aligned with the item around the seed's diagonal, by local alignment of words, and is reported if the score
-reaches a share of the item's score against itself.  Items go to the executors in blocks of bounded size.
+An alignment with the least score has so few errors that a number of the item's word pairs stand unbroken in a
+stretch of bounded length (for the shortest items: so many of its words).  Where a document has that many of them that
+close together it is aligned with the item, so that no passage is missed, however frequent its words are; it is
+reported if the score reaches a share of the item's score against itself.  Items go to the executors in blocks of
+bounded size.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ._text import Words, chunked
 
-SEED_WORDS, BLOCK_ITEMS = 4, 4096
+LEAST_WORDS, BLOCK_ITEMS = 4, 4096
 MATCH, MISMATCH, GAP = 2, 1, 1
-#: An n-gram so many times as frequent as its item's median one is no seed.
-COMMON = 8
+#: Pairs of a place and an item that a task holds at a time, but for those of a single row.
+HELD = 1 << 21
 #: Share of the item's score against itself from which on a passage counts as a copy.
 LEAST_SCORE = 0.6
 
@@ -40,73 +41,99 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _items(benchmark: DataFrame, id_column: str, text_column: str, n: int) -> Iterator[dict]:
-    """Blocks of items: ids, word hashes, and their n-grams as sorted hashes with item and place."""
+def _asked(m: int, least: float) -> tuple[int, int, int]:
+    """Words of a seed, how many seeds a passage of an item of m words has at least, and words of a passage at most.
+
+    With M matches and E errors, MATCH * M - E * (least penalty) reaches the score: E is at most ``errors``, the matches
+    are in E + 1 runs, and M - E - 1 pairs are unbroken, fewest where M = m.
+    """
+    errors = int(MATCH * m * (1 - least) / min(MISMATCH, GAP) + 1e-9)
+    pairs = m - errors - 1
+    return (2, pairs, m + errors) if pairs > 0 else (1, max(1, int(np.ceil(least * m - 1e-9))), m + errors)
+
+
+def _items(benchmark: DataFrame, id_column: str, text_column: str, least_words: int, least: float) -> Iterator[dict]:
+    """Blocks of items: ids, word hashes, what a passage has at least, and the seeds as sorted hashes with their item."""
     held: list = []
     for row in benchmark.select(F.col(id_column).alias("i"), F.coalesce(F.col(text_column), F.lit("")).alias("t")).toLocalIterator():
         held.append(row)
         if len(held) == BLOCK_ITEMS:
-            yield _item_block(held, n)
+            yield _item_block(held, least_words, least)
             held = []
     if held:
-        yield _item_block(held, n)
+        yield _item_block(held, least_words, least)
 
 
-def _item_block(rows: list, n: int) -> dict:
+def _item_block(rows: list, least_words: int, least: float) -> dict:
     texts = pa.array([r.t for r in rows], pa.large_string())
     sequences: list[np.ndarray] = []
-    gram, item, place = [], [], []
+    found: dict[int, tuple[list, list]] = {1: ([], []), 2: ([], [])}
     for low, w in chunked(texts, fold=True):
-        grams, at = w.runs(n)
-        for r in range(len(at) - 1):
+        runs = {n: w.runs(n) for n in found}
+        for r in range(len(w.rows) - 1):
             own = w.hashes[w.rows[r] : w.rows[r + 1]]
             sequences.append(own)
-            mine = grams[at[r] : at[r + 1]]
-            gram.append(mine)
-            item.append(np.full(len(mine), low + r))
-            place.append(np.arange(len(mine)))
-    return {"ids": [r.i for r in rows], "words": sequences, "gram": np.concatenate(gram), "item": np.concatenate(item), "place": np.concatenate(place)}
-
-
-def _rare(block: dict, counts: dict[int, int]) -> dict:
-    """The block with each item's rarest n-grams only, sorted by hash."""
-    often = np.array([counts.get(g, 0) for g in block["gram"].tolist()], np.int64)
-    keep = np.zeros(len(often), bool)
-    for i in range(len(block["ids"])):
-        own = np.arange(*np.searchsorted(block["item"], [i, i + 1]))
-        if len(own):
-            keep[own] = often[own] <= COMMON * (1 + np.median(often[own]))
-    order = np.flatnonzero(keep)[np.argsort(block["gram"][keep], kind="stable")]
-    return block | {k: block[k][order] for k in ("gram", "item", "place")}
-
-
-def _matches(w: Words, block: dict, n: int, least: float) -> Iterator[tuple[int, int, float, int, int]]:
+            if len(own) >= least_words:
+                n = _asked(len(own), least)[0]
+                grams, at = runs[n]
+                mine = np.unique(grams[at[r] : at[r + 1]])
+                found[n][0].append(mine)
+                found[n][1].append(np.full(len(mine), low + r))
+    seeds = {}
+    for n, (gram, item) in found.items():
+        if gram:
+            gram, item = np.concatenate(gram), np.concatenate(item)
+            order = np.lexsort((item, gram))
+            seeds[n] = (gram[order], item[order])
+    asked = np.array([_asked(len(x), least)[1:] for x in sequences], np.int64).reshape(-1, 2)
+    return {"ids": [r.i for r in rows], "words": sequences, "need": asked[:, 0], "span": asked[:, 1], "seeds": seeds}
+
+
+def _stretches(w: Words, block: dict) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, first word, last word) of stretches that hold every passage with the least score."""
+    for n, (gram, of) in block["seeds"].items():
+        grams, at = w.runs(n)
+        if not len(grams):
+            continue
+        low = np.searchsorted(gram, grams, "left")
+        found = np.flatnonzero(gram[np.minimum(low, len(gram) - 1)] == grams)
+        low = low[found]
+        many = np.searchsorted(gram, grams[found], "right") - low
+        rows = np.searchsorted(at, found, "right") - 1
+        upto = np.cumsum(many)
+        ends = np.flatnonzero(np.diff(rows, append=-1)) + 1  # of rows
+        a = 0
+        while a < len(found):
+            held = upto[ends - 1] - (upto[a] - many[a]) <= HELD
+            b = int(max(ends[held].max(initial=0), ends[np.searchsorted(ends, a, "right")]))
+            size = many[a:b]
+            item = of[np.repeat(low[a:b], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+            row, place = np.repeat(rows[a:b], size), np.repeat(found[a:b] - at[rows[a:b]], size)
+            order = np.lexsort((place, item, row))
+            row, item, place = row[order], item[order], place[order]
+            need, span = block["need"][item], block["span"][item]
+            last = np.minimum(np.arange(len(row)) + need - 1, len(row) - 1)
+            first = np.flatnonzero((np.arange(len(row)) + need <= len(row)) & (row[last] == row) & (item[last] == item) & (place[last] - place < span))
+            live = np.zeros(len(row) + 1, np.int64)
+            np.add.at(live, first, 1)
+            np.add.at(live, last[first] + 1, -1)
+            keep = np.flatnonzero(np.cumsum(live[:-1]) > 0)
+            row, item, place, span = row[keep], item[keep], place[keep], span[keep]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] >= span[1:])
+            cuts = np.flatnonzero(new)
+            for x, y in zip(cuts, [*cuts[1:], len(row)][: len(cuts)], strict=True):
+                yield int(row[x]), int(item[x]), max(0, int(place[x] - span[x])), int(place[y - 1] + span[x]) + n
+            a = b
+
+
+def _matches(w: Words, block: dict, least: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, score, first word, last word) for rows with a passage of an item."""
-    grams, at = w.runs(n)
-    if not len(grams) or not len(block["gram"]):
-        return
-    low = np.searchsorted(block["gram"], grams, "left")
-    found = np.flatnonzero(block["gram"][np.minimum(low, len(block["gram"]) - 1)] == grams)
-    if not len(found):
-        return
-    high = np.searchsorted(block["gram"], grams[found], "right")
-    many = high - low[found]
-    seed = np.repeat(low[found], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    where = np.repeat(found, many)
-    row = np.searchsorted(at, where, "right") - 1
-    item = block["item"][seed]
-    start = where - at[row] - block["place"][seed]  # of the item, if it stands there unchanged
-    order = np.lexsort((start, item, row))
-    row, item, start = row[order], item[order], start[order]
-    size = np.array([len(x) for x in block["words"]])
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > size[item[1:]])
-    cuts = np.flatnonzero(new)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for a, b in zip(cuts, [*cuts[1:], len(row)], strict=True):
-        r, i, m = int(row[a]), int(item[a]), int(size[item[a]])
-        own = w.hashes[w.rows[r] : w.rows[r + 1]]
-        first, last = max(0, int(start[a]) - m), min(len(own), int(start[b - 1]) + 2 * m)
+    for r, i, first, last in _stretches(w, block):
+        own, m = w.hashes[w.rows[r] : w.rows[r + 1]], len(block["words"][i])
+        if np.isin(block["words"][i], own[first:last]).sum() < least * m - 1e-9:  # each match is one of these words
+            continue
         score, end = align(block["words"][i], own[first:last])
         share = score / (MATCH * m)
         if share >= least and share > best.get((r, i), (0.0,))[0]:
@@ -116,41 +143,27 @@ def _matches(w: Words, block: dict, n: int, least: float) -> Iterator[tuple[int,
         yield r, i, *found_
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS, least: float = LEAST_SCORE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", least_words: int = LEAST_WORDS, least: float = LEAST_SCORE) -> DataFrame:
     """Documents with a passage of a test item: id_column, item_column, score, first_word, last_word (exclusive).
 
     One row for each document row and item of which it has a passage with ``least`` of the item's alignment
     score against itself, at its best passage.  Words are compared with A-Z lower-cased.  Null, empty and blank
-    texts have none; items under ``seed_words`` words are not searched for; null ids stay null; repeated rows
+    texts have none; items under ``least_words`` words are not searched for; null ids stay null; repeated rows
     are reported as often as they come; extra columns are ignored.
     """
     id_type, item_type = docs.schema[id_column].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
     spark, out = docs.sparkSession, None
     slim = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    for block in _items(benchmark, item_column, item_text, seed_words):
-        if not len(block["gram"]):
+    for block in _items(benchmark, item_column, item_text, least_words, least):
+        if not block["seeds"]:
             continue
-        listed = np.unique(block["gram"])
-        asked = spark.sparkContext.broadcast(listed)
-
-        def count(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(asked.value), np.int64)
-            for batch in batches:
-                for _, w in chunked(batch.column(1), fold=True):
-                    grams, _ = w.runs(seed_words)
-                    at = np.minimum(np.searchsorted(asked.value, grams), len(total) - 1)
-                    total += np.bincount(at[asked.value[at] == grams], minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(asked.value[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
-
-        counts = slim.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        seeds = spark.sparkContext.broadcast(_rare(block, {r.gram % 2**64: r.n for r in counts.collect()}))
+        seeds = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows, found = [], []
                 for low, w in chunked(batch.column(1), fold=True):
-                    for r, *rest in _matches(w, seeds.value, seed_words, least):
+                    for r, *rest in _matches(w, seeds.value, least):
                         rows.append(low + r)
                         found.append(rest)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([seeds.value["ids"][f[0]] for f in found], kind), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64())], ["id", "item", "score", "first_word", "last_word"])
