@@ -24,17 +24,28 @@ from ._text import mix
 SHARDS, SEED = 16, 42
 #: Slots of a cell; a task holds a cell's rows at a time.
 CELL_ROWS = 1 << 16
-#: numpy draws exactly up to here.
-_EXACT = 10**9
+#: numpy draws up to here; beyond, _inverted draws by the same law.
+_NUMPY = 10**9
+
+
+def _inverted(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """A hypergeometric draw by inversion: weights around the mode from the ratios of neighbours, which are exact.
+
+    What is over 12 standard deviations and 64 away from the mode weighs less than the rounding of the rest.
+    """
+    total = good + bad
+    least, most, mode = max(0, n - bad), min(good, n), (good + 1) * (n + 1) // (total + 2)
+    reach = int(12 * (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5) + 64
+    low, high = max(least, mode - reach), min(most, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    ratio = (good - k) * (n - k) / ((k + 1) * (bad - n + k + 1))  # of k + 1 to k
+    up, down = np.cumprod(ratio[mode - low :]), np.cumprod(1 / ratio[: mode - low][::-1])
+    weights = np.cumsum(np.concatenate([down[::-1], [1.0], up]))
+    return low + int(np.searchsorted(weights, rng.random() * weights[-1], "right"))
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < _EXACT:
-        return int(rng.hypergeometric(good, bad, n))
-    total = good + bad  # beyond, by the normal law that it follows there
-    mean = n * good / total
-    spread = (mean * (bad / total) * ((total - n) / (total - 1))) ** 0.5
-    return int(min(max(round(rng.normal(mean, spread)), n - bad, 0), good, n))
+    return int(rng.hypergeometric(good, bad, n)) if good + bad < _NUMPY else _inverted(rng, good, bad, n)
 
 
 def split(rng: np.random.Generator, cells: np.ndarray, n: int) -> np.ndarray:
