@@ -5,6 +5,7 @@ They only steer work (an order, a pre-filter); where a sketch is too coarse the
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,6 +64,73 @@ def bucket_sums(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nd
     return out
 
 
+def _summed(df: DataFrame, total: Callable[[Iterator[pa.RecordBatch]], np.ndarray], bits: int, kind: str, merge: np.ufunc) -> np.ndarray:
+    """One dense array of 2**bits buckets a task, sent in compressed parts, which are merged by part."""
+    width = (1 << bits) // PARTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = total(batches)
+        raw = [zlib.compress(every[p * width : (p + 1) * width].tobytes(), 1) for p in range(PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(raw, pa.binary())], ["part", "raw"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for batch in batches:  # sorted by part
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zlib.decompress(raw), kind)
+                if part == now:
+                    merge(held, own, out=held)
+                    continue
+                if now is not None:
+                    yield sent(now, held)
+                now, held = part, own.copy()
+        if now is not None:
+            yield sent(now, held)
+
+    def sent(part: int, held: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(held.tobytes(), 1)], pa.binary())], ["part", "raw"])
+
+    out, schema = np.zeros(1 << bits, kind), "part int, raw binary"
+    for row in df.mapInArrow(count, schema).repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(add, schema).collect():
+        out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(zlib.decompress(row["raw"]), kind)
+    return out
+
+
+def dense_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """How many of all hashes of df's rows fall in each bucket."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out, held, n = np.zeros(1 << bits, np.uint64), [], 0
+        mask = np.uint64((1 << bits) - 1)
+
+        def add() -> None:
+            out[:] += np.bincount((np.concatenate(held) & mask).astype(np.int64), minlength=1 << bits).astype(np.uint64)
+
+        for batch in batches:
+            held.append(hashes(batch))
+            n += len(held[-1])
+            if n > 1 << 21:
+                add()
+                held, n = [], 0
+        if held:
+            add()
+        return out
+
+    return _summed(df, total, bits, "<u8", np.add)
+
+
+def bucket_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """A bitmap of the buckets that the hashes of df's rows fall in (see in_bitmap)."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(1 << bits, bool)
+        for batch in batches:
+            out[(hashes(batch) & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
+        return np.packbits(out, bitorder="little")
+
+    return _summed(df, total, bits - 3, "u1", np.bitwise_or)
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     """Counts on a logarithmic scale, four steps to a doubling."""
     return np.minimum(np.round(4 * np.log2(counts + 1)), 255).astype(np.uint8)

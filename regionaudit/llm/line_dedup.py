@@ -1,88 +1,133 @@
 """Line deduplication by exact set-similarity join.
 
-A line is the set of its words (A-Z lower-cased).  Tokens are ordered by rarity, lines share candidates by
-prefix, size and position bounds (_setjoin), Jaccard similarity is counted exactly, and a line goes if a
-similar line stands earlier.  Lines with equal sets are one row of the join, at their earliest place.
+A line is the set of its words (A-Z lower-cased).  Words are ordered by rarity, lines become candidates by prefix,
+position and length filters (_prefix_join), Jaccard similarity is counted exactly, and a line goes if a similar line
+stands earlier.  Texts are split into words once; what follows works on a table of lines.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _setjoin
-from ._scratch import written
-from ._text import binary16, columns, keys, words
+from . import _prefix_join as pj
+from ._scratch import release, written
+from ._text import U, columns, mix, words
 
 NUM, DEN = 4, 5
-_SIGN = np.uint64(1 << 63)
+#: Sets that a task remembers at a time, to post repeats once.
+ROOM = 1 << 20
+_LINES = "first long, row long, sub int, node long, other long, again boolean, tokens binary"
 
 
-def _line_sets(text: pa.Array) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """For some rows at a time: the row and number of each line that has a word, and its set."""
+@dataclass
+class Lines:
+    """Lines with words: text row and number of each, their sets (tokens[at[i]:at[i + 1]]) and the sets' keys (n, 2)."""
+
+    rows: np.ndarray
+    numbers: np.ndarray
+    tokens: np.ndarray
+    at: np.ndarray
+    keys: np.ndarray
+
+
+def lines(text: pa.Array) -> Iterator[Lines]:
+    """The lines of a column that have words, some rows at a time."""
     data, bounds = columns(text)
     low = 0
     while low < len(bounds) - 1:
-        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + (1 << 20), "right")) - 1)
-        part = data[bounds[low] : bounds[high]]
-        edges = np.unique(np.concatenate([bounds[low : high + 1] - bounds[low], np.flatnonzero(part == 10) + 1]))
+        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + (1 << 19), "right")) - 1)
+        part, own = data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low]
+        edges = np.unique(np.concatenate([own, np.flatnonzero(part == 10) + 1]))
         edges = edges if len(edges) > 1 else np.array([0, 0])
         w = words(part, edges, fold=True)
-        rows = np.searchsorted(bounds[low : high + 1] - bounds[low], edges[:-1], "right") - 1 + low
+        rows = np.searchsorted(own, edges[:-1], "right") - 1
+        numbers = np.arange(len(rows)) - np.searchsorted(rows, rows)  # blank lines are numbered too
         full = np.flatnonzero(np.diff(w.rows))
-        first = np.searchsorted(rows, rows)  # a row's lines are numbered from 0, blank ones too
-        yield rows[full], (np.arange(len(rows)) - first)[full], [np.unique(w.hashes[w.rows[i] : w.rows[i + 1]]) for i in full]
+        for k in range(0, len(full), 1 << 16):
+            some = full[k : k + (1 << 16)]
+            of = np.repeat(np.arange(len(some)), np.diff(w.rows)[some])
+            packed = np.sort(of.astype(U) << U(48) | w.hashes[w.rows[some[0]] : w.rows[some[-1] + 1]] >> U(16))
+            packed = packed[np.append(True, packed[1:] != packed[:-1])]
+            tokens = packed & U((1 << 48) - 1)
+            at = np.append(0, np.cumsum(np.bincount((packed >> U(48)).astype(np.int64))))
+            keys = np.empty((len(some), 2), U)
+            for j in range(2):
+                total = np.append(U(0), np.cumsum(mix(tokens + U(0x5851F42D4C957F2D * (j + 1) % 2**64))))
+                keys[:, j] = mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(U))
+            yield Lines(rows[some] + low, numbers[some], tokens, at, keys)
         low = high
 
 
-def _place(ids: pa.Array, rows: np.ndarray) -> np.ndarray:
-    """Ids as unsigned numbers in their order, nulls least."""
-    return (pc.fill_null(ids.cast(pa.int64()), -(2**63)).to_numpy(zero_copy_only=False).view(np.uint64) ^ _SIGN)[rows]
-
-
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    for rows, lines, sets in _line_sets(batch.column(1)):
-        yield sets, _place(batch.column(0), rows), lines.astype(np.uint64)
-
-
-def line_matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
-    """Keys of line sets with the earliest place (first: id, sub: line) of a set that is similar (or equal): key, first, sub."""
-    df = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+def _line_table(docs: DataFrame) -> DataFrame:
+    """A row for each line of docs (first, row, text) that has words: its place (first, sub), whether its task has met an
+    equal set at an earlier place (again), and the tokens of sets at a new place."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, k, first, sub in _setjoin._distinct(batches, _sets):
-            yield pa.RecordBatch.from_arrays([binary16(k), pa.array(k[:, 0].view(np.int64)), pa.array((first ^ _SIGN).view(np.int64)), pa.array(sub.astype(np.int64)), pa.array([len(s) for s in own], pa.int64()), pa.array([_setjoin.parity_bits(s) for s in own], pa.binary()), pa.array([_setjoin.parity_bits(s, _setjoin.SMALL_BITS) for s in own], pa.binary())], ["key", "node", "first", "sub", "n", "bits", "small"])
-
-    place = F.struct("first", "sub")
-    marks = written(df.mapInArrow(mark, "key binary, node long, first long, sub long, n long, bits binary, small binary").groupBy("key", "node").agg(F.min(place).alias("place"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("small").alias("small")))
-    levels = _setjoin.order_levels(df, _sets, least=2)
-    found = written(_setjoin.candidates(df, _sets, num, den, levels, placed=True))
-    pairs = written(found.where("kind = 0").select("x", "y").distinct())
-    bits = marks.groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("small").alias("small"))
-    best = written(_earliest(marks, _setjoin.verified(df, _sets, _setjoin.possible(pairs, bits, num, den), num, den)))
-    # members of long lists that have earlier members than the best so far
-    wide = found.where("kind = 1").select("x", F.col("y").alias("list"), "n", "pos").join(marks.select(F.col("node").alias("x"), "key", "place"), "x").join(best.withColumnRenamed("place", "best"), "key")
-    wide = written(wide.select("x", "list", "n", "pos", "place", "best"))
-    some = wide.groupBy("list").agg((F.min("place") < F.max("best")).alias("open")).where("open").select("list")
-    rest = _setjoin.remaining(written(wide.join(some, "list", "left_semi")), bits, num, den, placed=True)
-    rest = _setjoin.possible(written(rest.join(pairs, ["x", "y"], "left_anti")), bits, num, den)
-    if not rest.isEmpty():
-        more = _earliest(marks, _setjoin.verified(df, _sets, rest, num, den))
-        best = written(best.union(more).groupBy("key").agg(F.min("place").alias("place")))
-    return best.select("key", "place.first", "place.sub")
-
-
-def _earliest(marks: DataFrame, links: DataFrame) -> DataFrame:
-    """For each set the earliest place of itself and the sets that it links with."""
-    own = marks.select("key", "place")
-    both = links.select(F.col("x").alias("key"), F.col("y").alias("other")).union(links.select("y", "x"))
-    far = both.join(own.withColumnRenamed("key", "other"), "other").select("key", "place")
-    return own.union(far).groupBy("key").agg(F.min("place").alias("place"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, tuple] = {}
+        for batch in batches:
+            first, row = batch.column(0).to_numpy(), batch.column(1)
+            for own in lines(batch.column(2)):
+                place = first[own.rows]
+                again, post = np.zeros(len(place), bool), np.zeros(len(place), bool)
+                for i, (k, a, b) in enumerate(zip(map(tuple, own.keys.tolist()), place.tolist(), own.numbers.tolist(), strict=True)):
+                    old = seen.get(k)
+                    if old is None or (a, b) < old:
+                        seen[k] = (a, b)
+                        post[i] = True
+                    else:
+                        again[i] = (a, b) > old
+                if len(seen) > ROOM:
+                    seen = {}
+                size = np.where(post, np.diff(own.at), 0)
+                tokens = pj.packed_tokens(own.tokens[np.repeat(post, np.diff(own.at))], np.append(0, np.cumsum(size)))
+                tokens = pc.if_else(pa.array(post), tokens, pa.scalar(None, pa.binary()))
+                key = own.keys.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(place), row.take(pa.array(own.rows)), pa.array(own.numbers.astype(np.int32)), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(again), tokens], ["first", "row", "sub", "node", "other", "again", "tokens"])
+
+    return docs.mapInArrow(work, _LINES)
+
+
+def _place(id_column: Column) -> Column:
+    """Ids in their order, null before all others; the least number of all is taken for a null."""
+    return F.coalesce(id_column.cast("long"), F.lit(-(2**63)))
+
+
+def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Lines of docs (first, row, text) that have a similar line at an earlier place: first, row, sub; written."""
+    table = written(_line_table(docs))
+    sets = table.where("tokens IS NOT NULL").select("node", "first", "sub", "tokens", "other")
+    whole = written(table.where("NOT again").groupBy("node", "other").agg(F.min(F.struct("first", "sub")).alias("place")))
+    counts = pj.order_counts(sets)
+    found = written(pj.candidates(sets, counts, num, den).groupBy("x", "y").agg(F.max("more").alias("more")))
+    late = written(_later(whole, pj.similar(sets, found.select("x", "y"), num, den)))
+    # sets that may have an earlier similar one besides those verified
+    open_ = written(found.where("more").select(F.col("y").alias("node")).distinct().join(late, "node", "left_anti"))
+    if not open_.isEmpty():
+        rest = pj.candidates(sets, counts, num, den, pj.asking(sets, counts, num, den, open_)).select("x", "y").distinct()
+        rest = written(rest.join(found, ["x", "y"], "left_anti"))
+        late = written(late.union(_later(whole, pj.similar(sets, rest, num, den))).distinct())
+    marked = whole.join(late.withColumn("late", F.lit(True)), ["node", "other"], "left")
+    own = table.where("NOT again").select("node", "other", "first", "row", "sub").join(marked, ["node", "other"])
+    gone = own.where(F.col("late") | (F.struct("first", "sub") > F.col("place"))).select("first", "row", "sub")
+    out = written(gone.union(table.where("again").select("first", "row", "sub")).groupBy("first", "row").agg(F.collect_set("sub").alias("gone")))
+    release(table, whole, found, late, open_)
+    return out
+
+
+def _later(whole: DataFrame, links: DataFrame) -> DataFrame:
+    """Sets (node, other) that link with a set at an earlier place."""
+    a = whole.select(F.col("node").alias("x"), F.col("other").alias("ox"), F.col("place").alias("px"))
+    b = whole.select(F.col("node").alias("y"), F.col("other").alias("oy"), F.col("place").alias("py"))
+    both = links.join(a, ["x", "ox"]).join(b, ["y", "oy"]).where("px <> py")
+    first = F.col("px") < F.col("py")
+    return both.select(F.when(first, F.col("y")).otherwise(F.col("x")).alias("node"), F.when(first, F.col("oy")).otherwise(F.col("ox")).alias("other")).distinct()
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
@@ -92,34 +137,15 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     more with that of a line at an earlier place, places being ordered by id (an integer; null is least) and
     line number; whether the earlier line goes too plays no part.  Lines without words stay.  Of rows with equal
     ids neither line of equal number is earlier, so both stay unless an earlier one matches.  A null text has no
-    lines and stays null; an empty one has one line and stays.
+    lines and stays null; an empty one has one line and stays.  Texts may be as long as a row can be; an empty
+    table gives an empty result; other columns are ignored, whatever their names.
     """
-    id_type = docs.schema[id_column].dataType.simpleString()
-    df = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    matches = line_matches(docs, id_column, text_column, num, den)
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = _place(batch.column(0), np.arange(batch.num_rows)) ^ _SIGN
-            for rows, number, sets in _line_sets(batch.column(1)):
-                if sets:
-                    yield pa.RecordBatch.from_arrays([pa.array(place[rows].view(np.int64)), batch.column(2).take(pa.array(rows)), pa.array(number.astype(np.int64)), binary16(keys(sets))], ["place", "row", "line", "key"])
-
-    row = F.xxhash64("id", "text")
-    marked = df.select(F.col("id").cast("long"), "text", row.alias("row")).mapInArrow(lines, "place long, row long, line long, key binary")
-    gone = marked.join(matches, "key").where((F.col("first") < F.col("place")) | ((F.col("first") == F.col("place")) & (F.col("sub") < F.col("line"))))
-    gone = gone.groupBy("row").agg(F.collect_set("line").alias("gone"))
-    out = df.withColumn("row", row).join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, cuts, texts = [], [], []
-            for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                every = [] if text is None else text.split("\n")
-                drop = set(gone)
-                n.append(len(every))
-                cuts.append(len(drop))
-                texts.append(None if text is None else "\n".join(x for i, x in enumerate(every) if i not in drop) if drop else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cuts, pa.int64()), pa.array(texts, pa.string())], ["id", "n_lines", "n_removed", "text"])
-
-    return out.select("id", "text", "gone").mapInArrow(cut, f"id {id_type}, n_lines long, n_removed long, text string").withColumnRenamed("id", id_column)
+    text = F.col(text_column)
+    df = docs.select(F.col(id_column).alias("id"), _place(F.col(id_column)).alias("first"), F.xxhash64(id_column, text_column).alias("row"), text.alias("text"))
+    gone = repeated_lines(df.select("first", "row", "text"), num, den)
+    # written, so that its size is known: broadcast if it is small, or else joined by a shuffle of the texts
+    out = df.join(gone, ["first", "row"], "left").withColumn("every", F.split("text", "\n", -1))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("every") - 1), "gone"), lambda i: F.get("every", i))
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n = F.coalesce(F.size("every"), F.lit(0))
+    return out.select(F.col("id").alias(id_column), F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), left.alias("text"))
