@@ -1,4 +1,4 @@
-"""Making the package importable in Python workers, in batches of bounded size."""
+"""Making the package importable in Python workers, and bounds on what queries hold."""
 
 from __future__ import annotations
 
@@ -10,8 +10,12 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
-#: Rows of long texts or sets go to Python workers a few MB at a time, unless the application says otherwise.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: Unless the application says otherwise: rows of long texts or sets go to Python workers a few MB at a time, and a query's
+#: shuffles go from the disks when it has ended.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -24,7 +28,7 @@ def ship(spark: SparkSession) -> SparkSession:
             for file in sorted(root.rglob("*.py")):
                 z.write(file, f"{root.name}/{file.relative_to(root)}")
         spark.sparkContext.addPyFile(str(at))
-        for key, value in BATCHES.items():
+        for key, value in SETTINGS.items():
             if not spark.sparkContext.getConf().contains(key):
                 spark.conf.set(key, value)
         _shipped.add(app)
