@@ -21,20 +21,22 @@ from . import _sketch
 from ._text import mix
 
 U = np.uint64
-TOKEN_BYTES, ORDER_BITS, FILTER_BITS = 6, 22, 25
+TOKEN_BYTES, ORDER_BITS, FILTER_BITS = 5, 22, 25
 #: A word of more sets than this doesn't make lists alone.
 FREQUENT = 4096
 #: Lists from this length on have pivots, and so many of them.
 LONG, PIVOTS = 64, 8
+#: Candidates that a set has from a list at first; if none is similar, and there are more, it is compared in full.
+NAMED = 8
 #: Pairs that are compared at a time, and postings that travel together.
 PAIRS, TOGETHER = 1 << 21, 1 << 18
 _LOW32 = U((1 << 32) - 1)
-_FIELDS = (("h", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("sub", "<u4"), ("node", "<i8"), ("first", "<i8"), ("even", "<u8"), ("odd", "<u8"))
+_FIELDS = (("h", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("sub", "<u4"), ("node", "<i8"), ("first", "<i8"), ("bits", "<u8"), ("more", "<u8"))
 _WIDTH = sum(np.dtype(t).itemsize for _, t in _FIELDS)
 
 
 def packed_tokens(tokens: np.ndarray, at: np.ndarray) -> pa.Array:
-    """48-bit word hashes of sets, six bytes each, as binaries."""
+    """The last 40 bits of the word hashes of sets, as binaries."""
     raw = np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
     return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * TOKEN_BYTES).astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
 
@@ -54,23 +56,23 @@ def _apart(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return s - 2 * -(-num * s // (num + den))
 
 
-def order_counts(sets: DataFrame) -> np.ndarray:
-    """In how many sets the words of each bucket are; sets: tokens."""
-    return _sketch.dense_counts(sets.select("tokens"), lambda b: unpacked_tokens(b.column(0))[0], ORDER_BITS)
+def order_levels(sets: DataFrame) -> np.ndarray:
+    """In how many sets the words of each bucket are, on a logarithmic scale; sets: tokens."""
+    return _sketch.levels(_sketch.dense_counts(sets.select("tokens"), lambda b: unpacked_tokens(b.column(0))[0], ORDER_BITS))
 
 
-def _postings(tokens: np.ndarray, at: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, set and position of each posting of some sets (under 2**24)."""
+def _postings(tokens: np.ndarray, at: np.ndarray, levels: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, set, position and first word of each posting of some sets (under 2**24)."""
     n = np.diff(at)
     own = np.repeat(np.arange(len(n)), n)
-    count = counts[tokens & U(len(counts) - 1)]
-    level = np.minimum(4 * np.log2(count + 1.0), 255).astype(U)
+    level = levels[tokens & U(len(levels) - 1)].astype(U)
     packed = np.sort(own.astype(U) << U(40) | level << U(32) | (tokens & _LOW32))
     word, pos = packed & U((1 << 40) - 1), np.arange(len(packed)) - at[own]
     # sets so small that no other set is similar have no postings
     lead = np.where(_apart(n + n * den // num, num, den) > 0, n - -(-num * n // den) + 1, 0)[own]
-    frequent = (word >> U(32)) > U(int(4 * np.log2(FREQUENT + 1.0)))
-    alone = np.flatnonzero((pos < lead) & ~frequent)
+    frequent = (word >> U(32)) > U(_sketch.levels(np.array([FREQUENT]))[0])
+    single = (word >> U(32)) <= U(_sketch.levels(np.array([1]))[0])  # in no other set, as its bucket has one word of one set
+    alone = np.flatnonzero((pos < lead) & ~frequent & ~single)
     keys, where = [mix(word[alone])], [alone]
     first = np.flatnonzero((pos < lead) & frequent)
     step = 1
@@ -80,10 +82,14 @@ def _postings(tokens: np.ndarray, at: np.ndarray, counts: np.ndarray, num: int,
         where.append(first)
         step += 1
     place = np.concatenate(where)
-    return np.concatenate(keys), own[place], pos[place]
+    return np.concatenate(keys), own[place], pos[place], word[place]
 
 
-def candidates(sets: DataFrame, counts: np.ndarray, num: int, den: int, asked: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def _of_word(word: np.ndarray) -> np.ndarray:
+    return mix((word & _LOW32) + U(1 << 40))
+
+
+def candidates(sets: DataFrame, levels: np.ndarray, num: int, den: int, asked: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """Candidate pairs x, y (nodes, x the earlier) and whether y may have more; sets: node, first, sub, tokens.
 
     ``asked`` (bitmaps of nodes and of keys, see asking): all pairs of the asked nodes, and of no others.
@@ -91,33 +97,38 @@ def candidates(sets: DataFrame, counts: np.ndarray, num: int, den: int, asked: t
     spark = sets.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = 16 * parts
-    shared = spark.sparkContext.broadcast((counts, asked))
+    shared = spark.sparkContext.broadcast((levels, asked))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, asked = shared.value
+        levels, asked = shared.value
         held: list[tuple] = []
         n = 0
 
         def packed() -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            order = np.argsort(columns[0], kind="stable")
+            order = np.lexsort((columns[1], columns[0]))
             columns = [c[order] for c in columns]
             cuts = np.flatnonzero(np.diff(columns[0], prepend=-1))
-            raw = [b"".join(c[a:b].tobytes() for c in columns[1:]) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+            # byte by byte, so that Spark's compression finds the zeros of small numbers
+            raw = [b"".join(c[a:b].view(np.uint8).reshape(b - a, -1).T.tobytes() for c in columns[1:]) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(columns[0][cuts], pa.int32()), pa.array(raw, pa.binary())], ["block", "packed"])
 
         for batch in batches:
             node, first, sub = (batch.column(i).to_numpy() for i in range(3))
             tokens, at = unpacked_tokens(batch.column(3))
+            if asked is not None and len(tokens):  # sets without any of the words go early
+                some = np.logical_or.reduceat(_sketch.in_bitmap(asked[1], _of_word(tokens)), at[:-1])
+                node, first, sub = node[some], first[some], sub[some]
+                tokens, at = tokens[np.repeat(some, np.diff(at))], np.append(0, np.cumsum(np.diff(at)[some]))
             if not len(tokens):
                 continue
-            key, own, pos = _postings(tokens, at, counts, num, den)
+            key, own, pos = _postings(tokens, at, levels, num, den)[:3]
             if asked is not None:
                 keep = _sketch.in_bitmap(asked[1], key)
                 key, own, pos = key[keep], own[keep], pos[keep]
-            bit, odd = U(1) << (tokens >> U(40) & U(63)), tokens >> U(39) & U(1)
-            even, odd = (np.bitwise_xor.reduceat(bit * x, at[:-1]) for x in (U(1) - odd, odd))
-            column = {"h": key >> U(32), "n": np.diff(at)[own], "pos": pos, "sub": sub[own], "node": node[own], "first": first[own], "even": even[own], "odd": odd[own]}
+            bit, half = U(1) << (tokens >> U(34) & U(63)), tokens >> U(33) & U(1)
+            bits, rest = (np.bitwise_xor.reduceat(bit * x, at[:-1]) for x in (U(1) - half, half))
+            column = {"h": key >> U(32), "n": np.diff(at)[own], "pos": pos, "sub": sub[own], "node": node[own], "first": first[own], "bits": bits[own], "more": rest[own]}
             held.append(((key % U(blocks)).astype(np.int32), *(column[k].astype(t) for k, t in _FIELDS)))
             n += len(key)
             if n > TOGETHER:
@@ -143,15 +154,18 @@ def candidates(sets: DataFrame, counts: np.ndarray, num: int, den: int, asked: t
     return packed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(join, "x long, y long, more boolean")
 
 
-def asking(sets: DataFrame, counts: np.ndarray, num: int, den: int, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of some nodes and of the keys of their lists."""
+def asking(sets: DataFrame, levels: np.ndarray, num: int, den: int, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of some nodes, and one of the keys of their lists and of the words that these begin with."""
     own = _sketch.bucket_bits(nodes, lambda b: mix(b.column(0).to_numpy().view(U)), FILTER_BITS)
-    shared = sets.sparkSession.sparkContext.broadcast((own, counts))
+    shared = sets.sparkSession.sparkContext.broadcast((own, levels))
 
     def keys(batch: pa.RecordBatch) -> np.ndarray:
-        own, counts = shared.value
+        own, levels = shared.value
         some = batch.filter(pa.array(_sketch.in_bitmap(own, mix(batch.column(0).to_numpy().view(U)))))
-        return _postings(*unpacked_tokens(some.column(1)), counts, num, den)[0] if len(some) else np.empty(0, U)
+        if not len(some):
+            return np.empty(0, U)
+        key, _, _, word = _postings(*unpacked_tokens(some.column(1)), levels, num, den)
+        return np.concatenate([key, _of_word(word)])
 
     return own, _sketch.bucket_bits(sets.select("node", "tokens"), keys, FILTER_BITS)
 
@@ -161,8 +175,9 @@ def _block(raws: list[bytes], num: int, den: int, asked: tuple[np.ndarray, np.nd
     for raw in raws:
         at, n = 0, len(raw) // _WIDTH
         for k, t in _FIELDS:
-            parts[k].append(np.frombuffer(raw, t, n, at))
-            at += n * np.dtype(t).itemsize
+            width = np.dtype(t).itemsize
+            parts[k].append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(t).reshape(-1))
+            at += n * width
     p = {k: np.concatenate(x) for k, x in parts.items()}
     # lists of one set first: most are
     order = np.argsort(p["h"], kind="stable")
@@ -176,7 +191,7 @@ def _block(raws: list[bytes], num: int, den: int, asked: tuple[np.ndarray, np.nd
     new = np.append(True, (p["h"][1:] != p["h"][:-1]) | (p["node"][1:] != p["node"][:-1]))
     p = {k: x[new] for k, x in p.items()}
     order = np.lexsort((p["n"], p["h"]))
-    p = {k: x[order].astype(np.int64) if x.dtype == np.uint32 else x[order] for k, x in p.items()}
+    p = {k: x[order].astype(np.int64) if k in ("h", "n", "pos", "sub") else x[order] for k, x in p.items()}
     p["rank"] = _ranks(p["first"], p["sub"])
     if asked is None:
         yield _earliest(p, num, den)
@@ -203,9 +218,9 @@ def _may(p: dict, a: np.ndarray, b: np.ndarray, num: int, den: int, share: int =
     """Could rows a and b be similar, by bitmap, size and position?  With ``share``: by so much of what may differ."""
     s = p["n"][a] + p["n"][b]
     most = _apart(s, num, den) // share
-    ok = np.flatnonzero(np.bitwise_count(p["even"][a] ^ p["even"][b]) <= most)
+    ok = np.flatnonzero(np.bitwise_count(p["bits"][a] ^ p["bits"][b]) <= most)
     x, y = a[ok], b[ok]
-    ok = ok[np.bitwise_count(p["even"][x] ^ p["even"][y]) + np.bitwise_count(p["odd"][x] ^ p["odd"][y]) <= most[ok]]
+    ok = ok[np.bitwise_count(p["bits"][x] ^ p["bits"][y]) + np.bitwise_count(p["more"][x] ^ p["more"][y]) <= most[ok]]
     x, y = a[ok], b[ok]
     nx, ny, px, py = p["n"][x], p["n"][y], p["pos"][x], p["pos"][y]
     most = np.minimum(px, py) + np.minimum(nx - px, ny - py)
@@ -236,7 +251,7 @@ def _windows(p: dict, rows: np.ndarray, num: int, den: int, both: bool) -> Itera
 
 
 def _earliest(p: dict, num: int, den: int) -> pa.RecordBatch:
-    """For each set of a list the earliest one that may be similar; what is very near to a pivot waits."""
+    """For each set of a list the earliest ones that may be similar; what is very near to a pivot has that one only."""
     rows, rank = len(p["h"]), p["rank"]
     starts = np.flatnonzero(np.append(True, p["h"][1:] != p["h"][:-1]))
     lengths = np.diff(np.append(starts, rows))
@@ -258,26 +273,39 @@ def _earliest(p: dict, num: int, den: int) -> pa.RecordBatch:
             a, b = long[pivot[some]], long[some]
             near = (rank[a] < rank[b]) & _may(p, a, b, num, den, share=2)
             best[b[near]], more[b[near]] = a[near], True
-    waits = best >= 0
-    busy = np.repeat(np.add.reduceat(waits, starts) > 0, lengths)
-    for todo, both in ((np.flatnonzero(~busy), False), (np.flatnonzero(busy & ~waits), True)):
+    waits = np.flatnonzero(best >= 0)
+    busy = np.repeat(np.add.reduceat(best >= 0, starts) > 0, lengths)
+    kept, new, held = [best[waits], waits], [], 0
+
+    def reduced() -> list[np.ndarray]:
+        """Of each set's candidates the first NAMED; what has more is marked."""
+        x, y = (np.concatenate(c) for c in zip(kept, *new, strict=True))
+        order = np.lexsort((x, rank[x], y))
+        x, y = x[order], y[order]
+        fresh = np.append(True, (y[1:] != y[:-1]) | (x[1:] != x[:-1])) if len(y) else np.empty(0, bool)
+        x, y = x[fresh], y[fresh]
+        heads = np.flatnonzero(np.append(True, y[1:] != y[:-1])) if len(y) else np.empty(0, np.int64)
+        at = np.arange(len(y)) - np.repeat(heads, np.diff(np.append(heads, len(y))))
+        more[y[at >= NAMED]] = True
+        return [x[at < NAMED], y[at < NAMED]]
+
+    for todo, both in ((np.flatnonzero(~busy), False), (np.flatnonzero(busy & (best < 0)), True)):
         for a, b in _windows(p, todo, num, den, both) if len(todo) else ():
             x, y = (b, a) if both else (np.where(rank[a] < rank[b], a, b), np.where(rank[a] < rank[b], b, a))
             keep = rank[x] < rank[y]
-            x, y = x[keep], y[keep]
-            x, y = np.append(x, best[y[best[y] >= 0]]), np.append(y, y[best[y] >= 0])
-            order = np.lexsort((x, rank[x], y))
-            x, y = x[order], y[order]
-            head = np.append(True, y[1:] != y[:-1]) if len(y) else np.empty(0, bool)
-            another = np.flatnonzero(~head & (x != np.append(-1, x[:-1])) if len(y) else head)
-            more[y[another]] = True
-            best[y[head]] = x[head]
-    y = np.flatnonzero(best >= 0)
-    return _pairs(p, best[y], y, more[y])
+            new.append((x[keep], y[keep]))
+            held += len(new[-1][0])
+            if held > PAIRS + len(kept[0]):
+                kept, new, held = reduced(), [], 0
+    x, y = reduced()
+    return _pairs(p, x, y, more[y])
 
 
 def similar(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs of nodes (x, y) the similar sets: k0x, k1x, k0y, k1y (whole keys); sets: node, other, tokens."""
+    """Of pairs of nodes (x, y) the similar sets: for each such pair the later set's whole key, node and other.
+
+    sets: node, other, first, sub, tokens.  Of sets at one place neither is later.
+    """
     bits = _sketch.bucket_bits(pairs.select(F.explode(F.array("x", "y")).alias("node")), lambda b: mix(b.column(0).to_numpy().view(U)), FILTER_BITS)
     shared = sets.sparkSession.sparkContext.broadcast(bits)
 
@@ -289,14 +317,17 @@ def similar(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             for low in range(0, len(batch), 1 << 14):
                 some = batch.slice(low, 1 << 14)
-                (a, at_a), (b, at_b) = unpacked_tokens(some.column(4)), unpacked_tokens(some.column(5))
+                (a, at_a), (b, at_b) = unpacked_tokens(some.column(2)), unpacked_tokens(some.column(3))
                 n = np.diff(at_a) + np.diff(at_b)
                 owner = np.concatenate([np.repeat(np.arange(len(some)), np.diff(x)) for x in (at_a, at_b)])
                 every = np.sort(owner.astype(U) << U(48) | np.concatenate([a, b]))
                 both = np.bincount((every[1:][every[1:] == every[:-1]] >> U(48)).astype(np.int64), minlength=len(some))
-                yield some.select([0, 1, 2, 3]).filter(pa.array(den * both >= num * (n - both)))
-
-    held = sets.select("node", "other", "tokens").mapInArrow(met, "node long, other long, tokens binary").dropDuplicates(["node", "other"])
-    one = pairs.join(held.select(F.col("node").alias("x"), F.col("other").alias("ox"), F.col("tokens").alias("tx")), "x")
-    two = one.join(held.select(F.col("node").alias("y"), F.col("other").alias("oy"), F.col("tokens").alias("ty")), "y")
-    return two.select("x", "ox", "y", "oy", "tx", "ty").mapInArrow(compare, "x long, ox long, y long, oy long")
+                yield some.select([0, 1]).filter(pa.array(den * both >= num * (n - both)))
+
+    held = sets.select("node", "other", "first", "sub", "tokens").mapInArrow(met, "node long, other long, first long, sub int, tokens binary")
+    held = held.groupBy("node", "other").agg(F.min(F.struct("first", "sub")).alias("place"), F.max("tokens").alias("tokens"))
+    x, y = (F.struct("place", "node", "other", "tokens").alias(s) for s in "xy")
+    one = pairs.withColumnsRenamed({"x": "a", "y": "b"}).join(held.select(F.col("node").alias("a"), x), "a")
+    two = one.join(held.select(F.col("node").alias("b"), y), "b").where("x.place <> y.place")
+    later = F.when(F.col("x.place") > F.col("y.place"), F.col("x")).otherwise(F.col("y"))
+    return two.select(later.alias("l"), "x.tokens", F.col("y.tokens").alias("others")).select("l.node", "l.other", "tokens", "others").mapInArrow(compare, "node long, other long").distinct()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -40,11 +39,3 @@ def drop(df: DataFrame) -> None:
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         at = jvm.org.apache.hadoop.fs.Path(file)
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def release(*tables: DataFrame) -> None:
-    """Drops tables, and lets go of the shuffles of ended queries: Spark deletes their files once its driver has collected them."""
-    for df in tables:
-        drop(df)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()

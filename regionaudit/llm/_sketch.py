@@ -64,8 +64,8 @@ def bucket_sums(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nd
     return out
 
 
-def _summed(df: DataFrame, total: Callable[[Iterator[pa.RecordBatch]], np.ndarray], bits: int, kind: str, merge: np.ufunc) -> np.ndarray:
-    """One dense array of 2**bits buckets a task, sent in compressed parts, which are merged by part."""
+def _summed(df: DataFrame, total: Callable[[Iterator[pa.RecordBatch]], np.ndarray], bits: int, sent_as: str, kind: str, merge: np.ufunc) -> np.ndarray:
+    """One dense array of 2**bits buckets a task, sent in compressed parts, which are merged by part as ``kind``."""
     width = (1 << bits) // PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,13 +77,13 @@ def _summed(df: DataFrame, total: Callable[[Iterator[pa.RecordBatch]], np.ndarra
         now, held = None, None
         for batch in batches:  # sorted by part
             for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(raw), kind)
+                own = np.frombuffer(zlib.decompress(raw), sent_as).astype(kind)
                 if part == now:
                     merge(held, own, out=held)
                     continue
                 if now is not None:
                     yield sent(now, held)
-                now, held = part, own.copy()
+                now, held = part, own
         if now is not None:
             yield sent(now, held)
 
@@ -91,7 +91,8 @@ def _summed(df: DataFrame, total: Callable[[Iterator[pa.RecordBatch]], np.ndarra
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(held.tobytes(), 1)], pa.binary())], ["part", "raw"])
 
     out, schema = np.zeros(1 << bits, kind), "part int, raw binary"
-    for row in df.mapInArrow(count, schema).repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(add, schema).collect():
+    tasks = min(PARTS, max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+    for row in df.mapInArrow(count, schema).repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(add, schema).collect():
         out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(zlib.decompress(row["raw"]), kind)
     return out
 
@@ -100,11 +101,11 @@ def dense_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray],
     """How many of all hashes of df's rows fall in each bucket."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out, held, n = np.zeros(1 << bits, np.uint64), [], 0
+        out, held, n = np.zeros(1 << bits, np.uint32), [], 0
         mask = np.uint64((1 << bits) - 1)
 
         def add() -> None:
-            out[:] += np.bincount((np.concatenate(held) & mask).astype(np.int64), minlength=1 << bits).astype(np.uint64)
+            out[:] += np.bincount((np.concatenate(held) & mask).astype(np.int64), minlength=1 << bits).astype(np.uint32)
 
         for batch in batches:
             held.append(hashes(batch))
@@ -116,7 +117,7 @@ def dense_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray],
             add()
         return out
 
-    return _summed(df, total, bits, "<u8", np.add)
+    return _summed(df, total, bits, "<u4", "<u8", np.add)
 
 
 def bucket_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
@@ -128,7 +129,7 @@ def bucket_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], b
             out[(hashes(batch) & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
         return np.packbits(out, bitorder="little")
 
-    return _summed(df, total, bits - 3, "u1", np.bitwise_or)
+    return _summed(df, total, bits - 3, "u1", "u1", np.bitwise_or)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:

@@ -13,11 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _prefix_join as pj
-from ._scratch import release, written
+from ._scratch import drop, written
 from ._text import U, columns, mix, words
 
 NUM, DEN = 4, 5
@@ -102,34 +102,28 @@ def _place(id_column: Column) -> Column:
 def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Lines of docs (first, row, text) that have a similar line at an earlier place: first, row, sub; written."""
     table = written(_line_table(docs))
-    sets = table.where("tokens IS NOT NULL").select("node", "first", "sub", "tokens", "other")
-    whole = written(table.where("NOT again").groupBy("node", "other").agg(F.min(F.struct("first", "sub")).alias("place")))
-    counts = pj.order_counts(sets)
-    found = written(pj.candidates(sets, counts, num, den).groupBy("x", "y").agg(F.max("more").alias("more")))
-    late = written(_later(whole, pj.similar(sets, found.select("x", "y"), num, den)))
+    sets = table.where("tokens IS NOT NULL").select("node", "other", "first", "sub", "tokens")
+    levels = pj.order_levels(sets)
+    found = written(pj.candidates(sets, levels, num, den).groupBy("x", "y").agg(F.max("more").alias("more")))
+    late = written(pj.similar(sets, found.select("x", "y"), num, den))
     # sets that may have an earlier similar one besides those verified
     open_ = written(found.where("more").select(F.col("y").alias("node")).distinct().join(late, "node", "left_anti"))
     if not open_.isEmpty():
-        rest = pj.candidates(sets, counts, num, den, pj.asking(sets, counts, num, den, open_)).select("x", "y").distinct()
+        rest = pj.candidates(sets, levels, num, den, pj.asking(sets, levels, num, den, open_)).select("x", "y").distinct()
         rest = written(rest.join(found, ["x", "y"], "left_anti"))
-        late = written(late.union(_later(whole, pj.similar(sets, rest, num, den))).distinct())
-    marked = whole.join(late.withColumn("late", F.lit(True)), ["node", "other"], "left")
-    own = table.where("NOT again").select("node", "other", "first", "row", "sub").join(marked, ["node", "other"])
-    gone = own.where(F.col("late") | (F.struct("first", "sub") > F.col("place"))).select("first", "row", "sub")
-    out = written(gone.union(table.where("again").select("first", "row", "sub")).groupBy("first", "row").agg(F.collect_set("sub").alias("gone")))
-    release(table, whole, found, late, open_)
+        late = written(late.union(pj.similar(sets, rest, num, den)).distinct())
+    # what no task has met before is at most one row a task and set, so that windows are small
+    key = ["node", "other"]
+    least = F.min(F.struct("first", "sub")).over(Window.partitionBy(*key))
+    own = table.where("NOT again").select(*key, "first", "row", "sub").withColumn("least", least)
+    own = own.join(late.withColumn("late", F.lit(True)), key, "left").where(F.col("late") | (F.struct("first", "sub") > F.col("least")))
+    gone = own.select("first", "row", "sub").union(table.where("again").select("first", "row", "sub"))
+    out = written(gone.groupBy("first", "row").agg(F.collect_set("sub").alias("gone")))
+    for done in (table, found, late, open_):
+        drop(done)
     return out
 
 
-def _later(whole: DataFrame, links: DataFrame) -> DataFrame:
-    """Sets (node, other) that link with a set at an earlier place."""
-    a = whole.select(F.col("node").alias("x"), F.col("other").alias("ox"), F.col("place").alias("px"))
-    b = whole.select(F.col("node").alias("y"), F.col("other").alias("oy"), F.col("place").alias("py"))
-    both = links.join(a, ["x", "ox"]).join(b, ["y", "oy"]).where("px <> py")
-    first = F.col("px") < F.col("py")
-    return both.select(F.when(first, F.col("y")).otherwise(F.col("x")).alias("node"), F.when(first, F.col("oy")).otherwise(F.col("ox")).alias("other")).distinct()
-
-
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """One row for each document: id_column, n_lines, n_removed and text, its remaining lines.
 
@@ -143,8 +137,8 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     text = F.col(text_column)
     df = docs.select(F.col(id_column).alias("id"), _place(F.col(id_column)).alias("first"), F.xxhash64(id_column, text_column).alias("row"), text.alias("text"))
     gone = repeated_lines(df.select("first", "row", "text"), num, den)
-    # written, so that its size is known: broadcast if it is small, or else joined by a shuffle of the texts
-    out = df.join(gone, ["first", "row"], "left").withColumn("every", F.split("text", "\n", -1))
+    # a row a document with lines to lose goes into a hash table, so that texts are not sorted
+    out = df.join(gone.hint("shuffle_hash"), ["first", "row"], "left").withColumn("every", F.split("text", "\n", -1))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("every") - 1), "gone"), lambda i: F.get("every", i))
     left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n = F.coalesce(F.size("every"), F.lit(0))
