@@ -79,6 +79,15 @@ def columns(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each of the parts ``data[starts[i]:ends[i]]``, each byte counting as ``values`` says."""
+    n = len(data)
+    up, down = _powers_to(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values[data] * up[:n], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def words(data: np.ndarray, bounds: np.ndarray, fold: bool = False) -> Words:
     """Splits rows ``data[bounds[r]:bounds[r + 1]]`` into words; ``fold`` lower-cases A-Z in the hashes."""
     n = len(data)
@@ -92,11 +101,7 @@ def words(data: np.ndarray, bounds: np.ndarray, fold: bool = False) -> Words:
         edges = bounds[1:][np.diff(bounds) > 0] - 1
         last[edges] = inside[edges]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers_to(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return Words(data, starts, ends, np.searchsorted(starts, bounds), hashes)
+    return Words(data, starts, ends, np.searchsorted(starts, bounds), byte_hashes(data, starts, ends, _FOLDED if fold else _BYTE))
 
 
 def chunked(array: pa.Array, fold: bool = False) -> Iterator[tuple[int, Words]]:

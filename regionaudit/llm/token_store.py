@@ -9,32 +9,30 @@ Spark's own writer commits the files: a lost executor leaves no half-written seg
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scratch import new_path
+from ._text import byte_hashes, columns
 
 MAGIC = b"rans1"
 LANES, BLOCK, SCALE_BITS = 32, 1 << 15, 18
-#: A segment is closed at so many ids; a longer document is a segment of its own.
+#: A segment is closed by the document with which it has so many ids or more.
 SEGMENT = 1 << 21
 END_ID = 2
 U = np.uint64
 _LOW = U(1 << 31)
 
-_PLAIN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space other than blanks and line feeds, and separators on whose class libraries differ.
-_OTHER_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
-_OTHER_SPACE = _OTHER_ASCII + "".join(map(chr, [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
-_CUTTABLE = re.compile(f"[ \n]+[^ \n{_OTHER_SPACE}]+")
+_OTHER_SPACE = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
 
 # --- coding ------------------------------------------------------------------------------------------------
@@ -58,8 +56,10 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 def encode(ids: np.ndarray) -> dict:
     """A segment of ids: symbols, freqs, states, offsets, words, crcs, as bytes; n_ids."""
     n = len(ids)
-    symbols, code, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    f = frequencies(counts.astype(np.int64)).astype(np.uint64)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    f = frequencies(counts[symbols]).astype(np.uint64)
+    code = (np.cumsum(counts > 0) - 1)[ids]
     c = np.cumsum(f) - f
     blocks = -(-n // BLOCK)
     block = min(BLOCK, -(-n // LANES) * LANES)
@@ -124,9 +124,13 @@ def decode(segment: dict, first: int = 0, last: int | None = None) -> np.ndarray
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(2)
+def _added(path: str) -> list[str]:
+    """Contents of the tokens that the tokenizer finds in a text before it splits it."""
+    return [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
 
 
 @lru_cache(2)
@@ -139,69 +143,163 @@ def _token_bytes(path: str) -> np.ndarray:
     return out
 
 
+def _raw(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large binaries, and where each begins in them."""
+    offsets = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+    data = np.frombuffer(pieces.buffers()[2], np.uint8) if offsets[-1] else np.empty(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 class _Pieces:
-    """Ids of pieces met so far: piece k has ids[starts[k]:starts[k] + sizes[k]]."""
+    """Ids of pieces met so far: piece k has ids[starts[k]:starts[k] + sizes[k]], and was asked for hits[k] times.
+
+    A piece is looked up by its 64-bit hash in an open-addressing table of numbers, and compared as it is.
+    """
 
-    MOST = 1 << 20
+    #: Pieces, and bytes of pieces, from which on half of them are forgotten, those asked for least.
+    MOST, MOST_BYTES, SLOT_BITS = 1 << 20, 1 << 25, 22
+    #: A longer piece is never remembered.
+    LONGEST = 1 << 10
 
     def __init__(self, path: str):
-        self.path, self.place = path, {}
-        self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def lookup(self, pieces: list[str]) -> np.ndarray:
-        if len(self.place) > self.MOST:
-            self.__init__(self.path)
-        new = [p for p in pieces if p not in self.place]
-        if new:
+        self.path = path
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = np.full(1 << self.SLOT_BITS, -1, np.int32)
+        self.names, self.hashes, self.ids = pa.array([], pa.large_binary()), np.empty(0, U), np.empty(0, np.uint32)
+        self.starts, self.sizes, self.hits = (np.empty(0, np.int64) for _ in range(3))
+
+    def coded(self, pieces: pa.Array, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different pieces behind each other, and how many each has; texts have them so many ``times``."""
+        parts = []
+        for low in range(0, max(1, len(pieces)), self.MOST):  # so that the table never fills up
+            place = self._lookup(pieces.slice(low, self.MOST), times[low : low + self.MOST])
+            sizes = self.sizes[place]
+            parts.append((self.ids[np.repeat(self.starts[place] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes))
+        ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return ids, sizes
+
+    def _lookup(self, pieces: pa.Array, times: np.ndarray) -> np.ndarray:
+        """The numbers of different pieces."""
+        if len(self.starts) > self.MOST or self.names.nbytes > self.MOST_BYTES:
+            self._forget()
+        data, at = _raw(pieces)
+        h = byte_hashes(data, at[:-1], at[1:])
+        out = self._find(h)
+        met = np.flatnonzero(out >= 0)
+        other = met[~pc.equal(pieces.take(pa.array(met)), self.names.take(pa.array(out[met]))).to_numpy(zero_copy_only=False)]
+        out[other] = -1  # another piece of equal hash: encoded again each time
+        new = np.flatnonzero(out < 0)
+        if len(new):
             # between pieces that start with white space and end without, a text can be cut: encode many at once
-            plain, odd = [], []
-            for p in new:
-                (plain if _CUTTABLE.fullmatch(p) else odd).append(p)
-            self._add(odd, *self._apart(odd))
-            together = [self._together(plain[low : low + 4096]) for low in range(0, len(plain), 4096)]
-            if together:
-                self._add(plain, *(np.concatenate(x) for x in zip(*together, strict=True)))
-        return np.fromiter((self.place[p] for p in pieces), np.int64, len(pieces))
-
-    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in _tokenizer(self.path).encode_batch_fast(pieces, add_special_tokens=False)]
+            blank = np.append((data == 0x20) | (data == 0x0A), False)
+            cuttable = blank[at[new]] & ~blank[at[new + 1] - 1]
+            new = np.concatenate([new[~cuttable], new[cuttable]])
+            names, odd = pieces.take(pa.array(new)), int((~cuttable).sum())
+            raw = names.to_pylist()
+            parts = [self._apart(raw[:odd]), *(self._together(raw[low : low + 4096]) for low in range(odd, len(raw), 4096))]
+            out[new] = np.arange(len(self.starts), len(self.starts) + len(new))
+            self._add(names, h[new], *(np.concatenate(x) for x in zip(*parts, strict=True)))
+            if len(new) > len(other):
+                fresh = out[np.setdiff1d(new, other)]
+                self._insert(fresh)
+        self.hits[out] += times
+        return out
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        out, going, mask = np.full(len(h), -1), np.arange(len(h)), U(len(self.table) - 1)
+        slot = h & mask
+        while len(going):
+            k = self.table[slot]
+            hit = (k >= 0) & (self.hashes[k] == h[going]) if len(self.hashes) else np.zeros(len(k), bool)
+            out[going[hit]] = k[hit]
+            on = (k >= 0) & ~hit
+            going, slot = going[on], (slot[on] + U(1)) & mask
+        return out
+
+    def _insert(self, numbers: np.ndarray) -> None:
+        mask = U(len(self.table) - 1)
+        slot = self.hashes[numbers] & mask
+        while len(numbers):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = numbers[free]
+            lost = self.table[slot] != numbers
+            numbers, slot = numbers[lost], (slot[lost] + U(1)) & mask
+
+    def _apart(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in _tokenizer(self.path).encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
         return np.array([i for own in ids for i in own], np.uint32), np.array([len(own) for own in ids], np.int64)
 
-    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(_tokenizer(self.path).encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.cumsum([len(p.encode()) for p in pieces])
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(_tokenizer(self.path).encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum(list(map(len, pieces)))
         upto = np.cumsum(_token_bytes(self.path)[ids])
         cuts = np.searchsorted(upto, ends)
         if len(upto) and upto[-1] == ends[-1] and (upto[cuts] == ends).all():
             return ids, np.diff(cuts, prepend=-1)
         return self._apart(pieces)
 
-    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        for k, p in enumerate(pieces, len(self.starts)):
-            self.place[p] = k
+    def _add(self, names: pa.Array, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, ids])
+        self.sizes, self.hits = np.concatenate([self.sizes, sizes]), np.concatenate([self.hits, np.zeros(len(sizes), np.int64)])
+        self.ids, self.hashes = np.concatenate([self.ids, ids]), np.concatenate([self.hashes, hashes])
+        self.names = pa.concat_arrays([self.names, names])
+
+    def _forget(self) -> None:
+        size = np.diff(_raw(self.names)[1])
+        order = np.argsort(-self.hits, kind="stable")
+        order = order[size[order] <= self.LONGEST][: self.MOST // 2]
+        order = order[np.cumsum(size[order]) <= self.MOST_BYTES // 4]
+        _, first = np.unique(self.hashes[order], return_index=True)
+        keep = order[first]
+        sizes = self.sizes[keep]
+        ids = self.ids[np.repeat(self.starts[keep] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        names, hashes = self.names.take(pa.array(keep)), self.hashes[keep]
+        self.clear()
+        self._add(names, hashes, ids, sizes)
+        self._insert(np.arange(len(keep)))
 
 
 _known: dict[str, _Pieces] = {}
 
 
-def tokenize(path: str, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each text, as ``encode(text, add_special_tokens=False)`` gives them.
+def _whole(path: str, texts: pa.Array) -> np.ndarray:
+    """Which texts can't be cut before blanks and line feeds: those with other white space or with an added token."""
+    out = pc.match_substring_regex(texts, _OTHER_SPACE)
+    for token in _added(path):
+        out = pc.or_(out, pc.match_substring(texts, token))
+    return out.to_numpy(zero_copy_only=False)
+
+
+def tokenize(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts (no nulls) behind each other, and where each text's begin, as ``encode(text, add_special_tokens=False)`` gives them.
 
     The byte-level pre-tokenizer never joins what stands before white space with what follows: pieces that
     start with a run of blanks or line feeds have ids of their own, and repeated pieces are encoded once.
-    Texts with other white space are encoded whole.
     """
-    known = _known.setdefault(path, _Pieces(path))
-    pieces = [[x] if any(c in x for c in (_OTHER_ASCII if x.isascii() else _OTHER_SPACE)) else _PLAIN.findall(x) for x in texts]
-    coded = pa.array([p for own in pieces for p in own], pa.string()).dictionary_encode()
-    place = known.lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-    sizes = known.sizes[place]
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    ids = known.ids[np.repeat(known.starts[place] - total[:-1], sizes) + np.arange(total[-1])]
-    return np.split(ids, total[np.cumsum([len(own) for own in pieces])[:-1]])
+    whole = _whole(path, texts)
+    data, bounds = columns(texts.filter(pa.array(~whole)))
+    space = (data == 0x20) | (data == 0x0A)
+    cut = space.copy()
+    cut[1:] &= ~space[:-1]
+    cut[bounds[:-1][np.diff(bounds) > 0]] = True
+    at = np.flatnonzero(cut)
+    offsets = np.append(at, len(data)).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
+    known, index = _known.setdefault(path, _Pieces(path)), pieces.indices.to_numpy()
+    every, size = known.coded(pieces.dictionary, np.bincount(index, minlength=len(pieces.dictionary)))
+    sizes, starts = size[index], (np.cumsum(size) - size)[index]
+    total = np.append(0, np.cumsum(sizes))
+    ids = every[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])]
+    ends = total[np.searchsorted(at, bounds)]
+    if not whole.any():
+        return ids, ends
+    parts, own = [], iter(np.split(ids, ends[1:-1]) if len(ends) > 1 else [])
+    rest = iter(_tokenizer(path).encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False))
+    for alone in whole.tolist():
+        parts.append(np.array(next(rest).ids, np.uint32) if alone else next(own))
+    return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
 
 
 # --- store -------------------------------------------------------------------------------------------------
@@ -235,7 +333,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
             kind = batch.schema.field(0).type
             for low in range(0, batch.num_rows, 2048):
                 some = batch.slice(low, 2048)
-                for name, own in zip(some.column(0).to_pylist(), tokenize(tokenizer_path, some.column(1).to_pylist()), strict=True):
+                every, at = tokenize(tokenizer_path, some.column(1))
+                for name, own in zip(some.column(0).to_pylist(), np.split(every, at[1:-1]), strict=True):
                     ids.append(np.concatenate([own, end]))
                     names.append(name)
                     held += len(own) + 1

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from harness import connect, differences
 
@@ -158,7 +159,6 @@ def test_token_store(spark, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     got = sorted(token_store.token_report(odd, tokenizer_path(), str(tmp_path / "s")).collect(), key=lambda r: r.start)
     start, seen = 0, []
     for r in got:
@@ -171,6 +171,24 @@ def test_token_store(spark, odd, empty, tmp_path):
     assert token_store.token_report(empty, tokenizer_path(), str(tmp_path / "e")).count() == 0
 
 
+def test_tokenize_as_the_library_does(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(tokenizer_path()), np.random.default_rng(3)
+    bits = ["the", "Ab", "it's", " ", "  ", "\n", "\n\n", "\t", "\r\n", "1234", "é", "ß", "漢字", "\u00a0", "\u2003", "🙂", "<|endoftext|>", "<|", "...", "''", "x" * 70]
+    texts = ["", " ", "\n", "<|endoftext|>", "see <|endoftext|> here", *("".join(rng.choice(bits, int(rng.integers(1, 30)))) for _ in range(4000))]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[4] == [3826, 220, 50256, 994]
+    monkeypatch.setattr(token_store._Pieces, "MOST", 300)
+    monkeypatch.setattr(token_store, "_known", {})
+    for size in (1, 7, 512, len(texts)):
+        got = []
+        for low in range(0, len(texts) if size > 1 else 300, size):
+            ids, at = token_store.tokenize(tokenizer_path(), pa.array(texts[low : low + size], pa.string()))
+            got += [x.tolist() for x in np.split(ids, at[1:-1])]
+        assert got == want[: len(got)]
+
+
 def test_rans_round_trip_and_damage():
     rng = np.random.default_rng(1)
     for ids in (np.array([2]), rng.integers(0, 50257, 70000), np.minimum(rng.geometric(0.2, 100000), 40), np.full(1000, 7)):
