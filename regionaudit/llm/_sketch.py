@@ -59,11 +59,16 @@ def bucket_sums(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nd
 
     empty = to_bytes(np.zeros(width, np.int64))
     out = np.tile(empty, PARTS)
-    for row in df.mapInArrow(count, _ROWS).repartition(8, "part").mapInArrow(add, _ROWS).collect():
+    for row in df.mapInArrow(count, _ROWS).repartition(_tasks(df), "part").mapInArrow(add, _ROWS).collect():
         out[row["part"] * len(empty) : (row["part"] + 1) * len(empty)] = np.frombuffer(row["at"], np.uint8)
     return out
 
 
+def _tasks(df: DataFrame) -> int:
+    """As many tasks add parts up as the cluster's shuffles call for."""
+    return min(PARTS, max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def _summed(df: DataFrame, total: Callable[[Iterator[pa.RecordBatch]], np.ndarray], bits: int, sent_as: str, kind: str, merge: np.ufunc) -> np.ndarray:
     """One dense array of 2**bits buckets a task, sent in compressed parts, which are merged by part as ``kind``."""
     width = (1 << bits) // PARTS
@@ -91,8 +96,7 @@ def _summed(df: DataFrame, total: Callable[[Iterator[pa.RecordBatch]], np.ndarra
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(held.tobytes(), 1)], pa.binary())], ["part", "raw"])
 
     out, schema = np.zeros(1 << bits, kind), "part int, raw binary"
-    tasks = min(PARTS, max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
-    for row in df.mapInArrow(count, schema).repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(add, schema).collect():
+    for row in df.mapInArrow(count, schema).repartition(_tasks(df), "part").sortWithinPartitions("part").mapInArrow(add, schema).collect():
         out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(zlib.decompress(row["raw"]), kind)
     return out
 

@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ._text import Words, chunked
 
+#: Items of fewer words are searched for as they are, without edits; and items of a block.
 LEAST_WORDS, BLOCK_ITEMS = 4, 4096
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: Pairs of a place and an item that a task holds at a time, but for those of a single row.
@@ -67,14 +68,16 @@ def _items(benchmark: DataFrame, id_column: str, text_column: str, least_words:
 def _item_block(rows: list, least_words: int, least: float) -> dict:
     texts = pa.array([r.t for r in rows], pa.large_string())
     sequences: list[np.ndarray] = []
+    score: list[float] = []  # share of its own score that a passage of the item has at least
     found: dict[int, tuple[list, list]] = {1: ([], []), 2: ([], [])}
     for low, w in chunked(texts, fold=True):
         runs = {n: w.runs(n) for n in found}
         for r in range(len(w.rows) - 1):
             own = w.hashes[w.rows[r] : w.rows[r + 1]]
             sequences.append(own)
-            if len(own) >= least_words:
-                n = _asked(len(own), least)[0]
+            score.append(least if len(own) >= least_words else 1.0)
+            if len(own):
+                n = _asked(len(own), score[-1])[0]
                 grams, at = runs[n]
                 mine = np.unique(grams[at[r] : at[r + 1]])
                 found[n][0].append(mine)
@@ -85,8 +88,8 @@ def _item_block(rows: list, least_words: int, least: float) -> dict:
             gram, item = np.concatenate(gram), np.concatenate(item)
             order = np.lexsort((item, gram))
             seeds[n] = (gram[order], item[order])
-    asked = np.array([_asked(len(x), least)[1:] for x in sequences], np.int64).reshape(-1, 2)
-    return {"ids": [r.i for r in rows], "words": sequences, "need": asked[:, 0], "span": asked[:, 1], "seeds": seeds}
+    asked = np.array([_asked(len(x), s)[1:] for x, s in zip(sequences, score, strict=True)], np.int64).reshape(-1, 2)
+    return {"ids": [r.i for r in rows], "words": sequences, "least": score, "need": asked[:, 0], "span": asked[:, 1], "seeds": seeds}
 
 
 def _stretches(w: Words, block: dict) -> Iterator[tuple[int, int, int, int]]:
@@ -127,11 +130,11 @@ def _stretches(w: Words, block: dict) -> Iterator[tuple[int, int, int, int]]:
             a = b
 
 
-def _matches(w: Words, block: dict, least: float) -> Iterator[tuple[int, int, float, int, int]]:
+def _matches(w: Words, block: dict) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, score, first word, last word) for rows with a passage of an item."""
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for r, i, first, last in _stretches(w, block):
-        own, m = w.hashes[w.rows[r] : w.rows[r + 1]], len(block["words"][i])
+        own, m, least = w.hashes[w.rows[r] : w.rows[r + 1]], len(block["words"][i]), block["least"][i]
         if np.isin(block["words"][i], own[first:last]).sum() < least * m - 1e-9:  # each match is one of these words
             continue
         score, end = align(block["words"][i], own[first:last])
@@ -148,7 +151,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
 
     One row for each document row and item of which it has a passage with ``least`` of the item's alignment
     score against itself, at its best passage.  Words are compared with A-Z lower-cased.  Null, empty and blank
-    texts have none; items under ``least_words`` words are not searched for; null ids stay null; repeated rows
+    texts have none; items under ``least_words`` words count only where they stand as they are; empty items, an empty
+    benchmark and an empty table give nothing; null ids stay null; repeated rows
     are reported as often as they come; extra columns are ignored.
     """
     id_type, item_type = docs.schema[id_column].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
@@ -163,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
             for batch in batches:
                 rows, found = [], []
                 for low, w in chunked(batch.column(1), fold=True):
-                    for r, *rest in _matches(w, seeds.value, least):
+                    for r, *rest in _matches(w, seeds.value):
                         rows.append(low + r)
                         found.append(rest)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([seeds.value["ids"][f[0]] for f in found], kind), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64())], ["id", "item", "score", "first_word", "last_word"])
@@ -177,8 +181,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that have a passage of a test item."""
-    key = F.xxhash64("doc_id", "text")
-    bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__key")).distinct()
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("__key"))
-    return packed.join(bad, "__key", "left_anti").select("row.*")
+    """docs without the rows that have a passage of a test item (see contaminated): repeats go together, rows without a text stay."""
+    key = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "doc_id", "text").alias("b"))
+    bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("key")).distinct()
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    return packed.join(bad, "key", "left_anti").select("row.*")

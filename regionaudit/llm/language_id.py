@@ -6,7 +6,6 @@ text is lower-cased and compressed piece by piece, so that the dictionary, not t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +19,8 @@ PIECE_BYTES, LEVEL = 4096, 6
 #: Below this margin a prediction is marked as rejected.
 LEAST_MARGIN = 0.02
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Documents a language that are drawn by hash, on average, before the sample is taken from them in order.
+DRAWN = 8 * SAMPLE_DOCS
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -29,11 +29,17 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 def dictionaries(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> dict[str, bytes]:
     """Raw-content dictionaries by language, from a sample of the rows of docs that have a text and a language."""
-    draw = F.xxhash64(F.lit(7), F.col(id_column), F.col(text_column))
-    known = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).rlike(r"\p{L}")).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), draw.alias("draw"))
-    first = known.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("rank") <= SAMPLE_DOCS)
-    at = 1 + F.pmod("draw", F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS))
-    rows = first.select("lang", "rank", F.substring(F.col("text"), at.cast("int"), F.lit(SAMPLE_CHARS)).alias("piece")).collect()
+    lang, text = F.col(lang_column), F.col(text_column)
+    known = docs.where(lang.isNotNull() & text.rlike(r"\p{L}"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy(lang.alias("lang")).count().collect()}
+    if not counts:
+        return {}
+    # a share of each language, so that the window holds few rows however many a language has
+    draw, one = F.xxhash64(F.lit(7), F.col(id_column), text), 1 << 40
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, one * min(n, DRAWN) // n)])
+    at = 1 + F.pmod(draw, F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS))
+    drawn = known.where(F.pmod(draw, F.lit(one)) < share[lang]).select(lang.alias("lang"), draw.alias("draw"), F.substring(text, at.cast("int"), F.lit(SAMPLE_CHARS)).alias("piece"))
+    rows = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "piece"))).where(F.col("rank") <= SAMPLE_DOCS).collect()
     out: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.rank)):
         out.setdefault(r.lang, []).append(r.piece)
@@ -51,7 +57,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, margin (how much smaller than the runner-up, 0 to 1) and whether the margin is too narrow."""
-        if not self.languages or text is None or not _LETTER.search(text):
+        if not self.languages or text is None or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, True
         raw = text.lower().encode()
         pieces = [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
@@ -65,7 +71,7 @@ def languages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     Learns from rows that are not held out and have a language; a null id is not held out and is not learned
     from.  Null texts and texts without a letter get ``und`` with score 0, as does everything if there is
-    nothing to learn from.  With one language learned the score is 1.  Ties go to the first language by name;
+    nothing to learn from; an empty table gives an empty result.  With one language learned the score is 1.  Ties go to the first language by name;
     repeated rows are judged alike; other columns are ignored.
     """
     content = dictionaries(docs.where(~held_out(id_column) & F.col(id_column).isNotNull()), id_column, text_column, lang_column)

@@ -18,7 +18,7 @@ from .quality_rules import n_words
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT, MAX_EPOCHS, SEED = 150, 2, 42
 #: A source's seeded order is cut into so many buckets; only one of them is ever sorted.
-BUCKETS = 4096
+BUCKETS = 1 << 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -67,5 +67,5 @@ def mix_report(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
+    """The mix itself: each document as often as it is taken (see mixed); an empty table gives an empty result."""
     return mixed(docs).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

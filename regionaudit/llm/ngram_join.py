@@ -88,10 +88,14 @@ def _labels(df: DataFrame, marks: DataFrame, sets: _setjoin.Sets, num: int, den:
 
 
 def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each component of docs, that with the least id; of equal rows one.  Rows without shingles all stay."""
-    row, key = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    packed = docs.select(row.alias("row"), key.alias("__key"))
-    ids = docs.select(F.struct(F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)).alias("id"), key.alias("key")).alias("id"), F.col(text_column).alias("text"))
+    """One row of each component of docs, that with the least id; of equal rows one.  Rows without shingles all stay.
+
+    Ids may be of any type with an order; a null id is the last.  An empty table gives an empty result.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+    packed = docs.select(F.struct(*columns).alias("row"), key.alias("__key"))
+    ids = docs.select(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), key.alias("key")).alias("id"), F.col(text_column).alias("text"))
     found = ngram_components(ids, "id", "text")
     stay = written(found.where("n_shingles = 0 OR id = component_id").groupBy(F.col("id.key").alias("__key")).agg(F.max("n_shingles").alias("n"), F.count("*").alias("rows")))
     repeated = stay.where("n > 0 AND rows > 1").select("__key")

@@ -114,7 +114,7 @@ def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 
 def kept_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The rows of docs that the rules keep."""
+    """The rows of docs that the rules keep (see judged): none of a null or empty text, repeats alike, of an empty table none."""
     # a non-deterministic term keeps the filter above the measures: pushed down, it would copy them into itself again and again
     stays = F.col("kept") & (F.monotonically_increasing_id() >= 0)
     return judged(docs, text_column).select("row", stays.alias("stays")).where("stays").select("row.*")

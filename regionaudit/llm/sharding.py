@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from ._text import mix
 
 SHARDS, SEED = 16, 42
-#: Slots of a cell; a task holds a cell's rows at a time.
-CELL_ROWS = 1 << 16
+#: Slots of a cell at least, and cells at most but for one a shard: each task draws a count for every cell.
+CELL_ROWS, CELLS = 1 << 14, 1 << 16
 #: numpy draws up to here; beyond, _inverted draws by the same law.
 _NUMPY = 10**9
 
@@ -69,20 +69,20 @@ def matrix_row(cells: np.ndarray, before: np.ndarray, part: int, seed: int) -> n
 
 def shard_cells(rows: int, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of all cells, shard after shard, and the shard of each; shards differ by one row at most."""
-    sizes, owner = [], []
+    sizes, owner, most = [], [], max(CELL_ROWS, -(-rows // CELLS))
     for shard in range(shards):
         left = rows // shards + (shard < rows % shards)
-        pieces = max(1, -(-left // CELL_ROWS))
+        pieces = max(1, -(-left // most))
         sizes += [left // pieces + (i < left % pieces) for i in range(pieces)]
         owner += [shard] * pieces
     return np.array(sizes, np.int64), np.array(owner, np.int64)
 
 
 def dealt(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """df with __shard (0 to shards - 1) and __slot (gapless from 0 in its shard) in a uniformly random order.
+    """df as a struct column ``row``, with shard (0 to shards - 1) and slot (gapless from 0 in its shard), in a uniformly random order.
 
     Shard sizes differ by one row at most; empty tables give empty results; rows are not looked into, so nulls,
-    ties and repeats are dealt like any others.  df must give the same partitions whenever it is run, as a scan
+    ties, repeats, long texts and columns of any name are dealt like any others.  df must give the same partitions whenever it is run, as a scan
     does; a partition with another number of rows than counted stops the job.
     """
     spark = df.sparkSession
@@ -93,7 +93,8 @@ def dealt(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     begins = np.cumsum(sizes) - sizes
     starts = begins - begins[np.searchsorted(owner, owner)]  # slot of a cell's first row
     shared = spark.sparkContext.broadcast((sizes, before, owner, starts))
-    names = df.columns
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    names = ["row"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, before, _, _ = shared.value
@@ -108,7 +109,7 @@ def dealt(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
             end = at + batch.num_rows
             if end > n:
                 raise RuntimeError(f"partition {part} has more than the {n} rows counted before")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell[at:end].astype(np.int32)), pa.array(tag[at:end])], [*names, "__cell", "__tag"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell[at:end].astype(np.int32)), pa.array(tag[at:end])], [*names, "cell", "tag"])
             at = end
         if at != n:
             raise RuntimeError(f"partition {part} has {at} rows; {n} were counted before")
@@ -125,11 +126,21 @@ def dealt(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
                     now, at = int(cell[a]), int(starts[cell[a]])
                 slot[a:b] = np.arange(at, at + b - a)
                 at += int(b - a)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(owner[cell].astype(np.int32)), pa.array(slot)], [*names, "__shard", "__slot"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(owner[cell].astype(np.int32)), pa.array(slot)], [*names, "shard", "slot"])
 
-    sent = df.mapInArrow(deal, T.StructType(list(df.schema.fields)).add("__cell", T.IntegerType()).add("__tag", T.LongType()))
-    exchanged = sent.repartition(min(len(sizes), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))), "__cell").sortWithinPartitions("__cell", "__tag")
-    return exchanged.mapInArrow(place, T.StructType(list(df.schema.fields)).add("__shard", T.IntegerType()).add("__slot", T.LongType()))
+    sent = df.mapInArrow(deal, T.StructType(list(df.schema.fields)).add("cell", T.IntegerType()).add("tag", T.LongType()))
+    exchanged = sent.repartition(min(len(sizes), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))), "cell").sortWithinPartitions("cell", "tag")
+    return exchanged.mapInArrow(place, T.StructType(list(df.schema.fields)).add("shard", T.IntegerType()).add("slot", T.LongType()))
+
+
+def shuffled_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """docs with their shard and slot (see dealt); where docs has a column of such a name, ``_`` follows the new one's."""
+    names: list[str] = []
+    for name in ("shard", "slot"):
+        while name.lower() in {c.lower() for c in docs.columns}:
+            name += "_"
+        names.append(name)
+    return dealt(docs, shards, seed).select("row.*", F.col("shard").alias(names[0]), F.col("slot").alias(names[1]))
 
 
 def shard_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -139,6 +150,6 @@ def shard_report(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     one, 0.  The law is ``rows``; grown_shard is null.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    slim = docs.select(F.col(id_column), (F.octet_length(text) + 1).cast("long").alias("__size"), F.crc32(F.encode(text, "utf-8")).alias("__crc"))
+    slim = docs.select(F.col(id_column).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("crc"))
     out = dealt(slim, shards, seed)
-    return out.select(F.col(id_column), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(F.col("row.id").alias(id_column), "row.size", F.col("row.crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -104,6 +104,10 @@ def test_sharding(spark, odd, empty):
     assert len(rows) == len(ODD) and max(sizes.values()) - min(sizes.values()) <= 1
     assert all(sorted(r.slot for r in rows if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
     assert sharding.shard_report(empty).count() == 0
+    clash = odd.selectExpr("*", "1 AS shard", "2 AS slot", "3 AS cell", "4 AS __tag", "5 AS Slot_")
+    out = sharding.shuffled_documents(clash, 4)
+    assert out.columns == [*clash.columns, "shard_", "slot__"] and Counter(tuple(r)[:-2] for r in out.collect()) == Counter(map(tuple, clash.collect()))
+    assert sharding.shuffled_documents(empty).count() == 0
     cells, before = np.array([30, 20, 50]), np.array([0, 10, 10, 60, 100])
     matrix = np.stack([sharding.matrix_row(cells, before, p, 3) for p in range(4)])
     assert (matrix.sum(axis=0) == cells).all() and (matrix.sum(axis=1) == np.diff(before)).all()
@@ -120,6 +124,12 @@ def test_decontamination(spark, odd, empty):
     assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()) == [3, 4, 5]
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert decontaminate.clean_documents(odd, bench).count() == len(ODD)
+    short = spark.createDataFrame([(1, "it is Too Short."), (2, "too, short"), (3, "this is too short indeed"), (4, "too very short")], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.contaminated(short, bench).collect()] == [3]
+    named = spark.createDataFrame([("a", item), ("a", item), ("b", "x " + item), ("c", None)], "doc_id string, text string")
+    assert [r.doc_id for r in decontaminate.clean_documents(named, bench).collect()] == ["c"]
+    assert sorted((r.doc_id or "") for r in ngram_join.representatives(named.union(spark.createDataFrame([(None, item)], named.schema))).collect()) == ["a", "c"]
+    assert ngram_join.representatives(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0 and quality_rules.kept_documents(empty).count() == 0
 
 
 def smith_waterman(a, b):
@@ -235,6 +245,9 @@ def test_language_id(spark, odd, empty):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95 and all(0 <= r.score <= 1 for r in got)
     small = language_id.languages(odd).collect()
     assert {r.lang_pred for r in small if r.doc_id in (3, 4, 5)} == {"und"} and len(small) == len(ODD)
+    signs = docs.limit(0).union(docs.sparkSession.createDataFrame([(1, "½ ² 12 _ Ⅷ!", None, None, None), (2, "12 ª", None, None, None)], docs.schema))
+    told = {r.doc_id: (r.lang_pred, r.score) for r in language_id.languages(docs.union(signs)).where("doc_id IN (1, 2) AND score = 0 OR doc_id = 2").collect()}
+    assert told.get(1) == ("und", 0.0) and told[2][0] != "und"
     assert language_id.languages(empty).count() == 0
 
 

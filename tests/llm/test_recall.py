@@ -46,5 +46,5 @@ def test_against_whole_alignments(spark, monkeypatch, held):
     text = lambda w: " ".join(f"w{x}" for x in w)
     block = next(decontaminate._items(spark.createDataFrame([(i, text(x)) for i, x in enumerate(items)], "i long, t string"), "i", "t", 4, 0.6))
     words = next(decontaminate.chunked(decontaminate.pa.array([text(w) for w in docs], decontaminate.pa.large_string()), fold=True))[1]
-    got = {(r, i): s for r, i, s, *_ in decontaminate._matches(words, block, 0.6)}
+    got = {(r, i): s for r, i, s, *_ in decontaminate._matches(words, block)}
     assert got == {k: s for k, s in want.items() if s >= 0.6} and len(got) > 80
