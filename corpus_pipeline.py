@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard and their slot in it."""
     ship(spark)
-    return sharding.dealt(docs).withColumnsRenamed({"__shard": "shard", "__slot": "slot"})
+    return sharding.shuffled_documents(docs)
 
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("mixing sources", mix), ("sharding", shards)]
@@ -44,6 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder, each stage's rows written and read again.
+
+    Null, empty and blank texts fail the quality rules; texts may be of any length; equal rows are one group of near
+    duplicates, of which one stays; columns of any name come through; an empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))
