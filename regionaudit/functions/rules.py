@@ -19,6 +19,26 @@ STRONG_DISTRACTORS = ("road", "building", "vegetation", "sky")
 WEAK_DISTRACTORS = ("traffic_light", "traffic_sign", "pole", "unclear")
 
 
+#: Raw weather to condition; null: rain, by the time of day.
+WEATHER = {
+    "clear-day": "day_fair", "partly-cloudy-day": "day_fair", "cloudy": "day_fair", "wind": "day_fair", "fog": "day_fair",
+    "clear-night": "night_fair", "partly-cloudy-night": "night_fair", "snow": "snow", "rain": None,
+}
+
+
+def weather(raw: Column, time_of_day: Column) -> Column:
+    """Condition of a frame: values that are not known are rain, a missing time is day."""
+    out = F.when(F.coalesce(time_of_day, F.lit("day")) == "day", "day_rain").otherwise("night_rain")
+    for value, condition in WEATHER.items():
+        out = F.when(raw == value, condition).otherwise(out) if condition else out
+    return out
+
+
+def discovered_class(dense_class: Column, raw: Column, confirmed: Column) -> Column:
+    """Class id of a candidate: vehicle 2, sign 3, a confirmed cyclist 4 and other confirmed human 5; not confirmed ones 4."""
+    return F.when(dense_class == 1, 2).when(dense_class == 2, 3).when(confirmed & (normal_reply(raw) != "cyclist"), 5).otherwise(4)
+
+
 def by_class(values: dict[str, int], default: int, name: Column | str = "class_name") -> Column:
     out = F.lit(default)
     for c, v in values.items():

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .select import ranked
+
 
 def count_if(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0)).cast("long")
@@ -37,10 +39,11 @@ def rates(counts: DataFrame, zeros: bool = False) -> DataFrame:
 
 
 def fold(long: DataFrame, keys: list[str], ordinal: str, labeler: str, verdict: str, first: list[str]) -> DataFrame:
-    """One row for each key: the first row's metadata, and the last verdict of each labeler as a map."""
+    """One row for each key: the first row's metadata, and the last verdict of each labeler as a map in order of their first rows."""
     meta = long.groupBy(*keys).agg(F.min_by(F.struct(*first), ordinal).alias("meta"))
-    last = long.where(F.col(labeler).isNotNull()).groupBy(*keys, labeler).agg(F.max_by(verdict, ordinal).alias("v"))
-    maps = last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(labeler, "v")))).alias("labelers"))
+    last = long.where(F.col(labeler).isNotNull()).groupBy(*keys, labeler).agg(F.min(ordinal).alias("since"), F.max_by(verdict, ordinal).alias("v"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("since", labeler, "v"))), lambda e: F.struct(e[labeler], e["v"]))
+    maps = last.groupBy(*keys).agg(F.map_from_entries(entries).alias("labelers"))
     return meta.join(maps, keys, "left").select(*keys, "meta.*", "labelers")
 
 
@@ -63,24 +66,41 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return out.select("n", "agreed", F.when((c("n") >= 2) & (c("n") * c("n") > c("products")), (c("n") * c("agreed") - c("products")) / (c("n") * c("n") - c("products"))).alias("kappa"))
 
 
-def labelling_order(df: DataFrame, frame: str = "frame_id", stamp: str = "answered_at") -> DataFrame:
-    """Frames ranked from 1 by their earliest stamp, then by name; one row a frame goes through the ordering."""
-    firsts = df.groupBy(frame).agg(F.min(stamp).alias("stamp"))
-    return firsts.withColumn("rank", F.row_number().over(Window.orderBy("stamp", frame)).cast("long"))
+def labelling_order(df: DataFrame, frame: str = "frame_id", stamp: str = "answered_at", verdict: str = "human", ordinal: str = "ord") -> DataFrame:
+    """Frames with a verdict, ranked from 1 by their earliest stamp, equal ones by their first row with a verdict.
+
+    Days are ordered globally, frames within their day.
+    """
+    firsts = df.where(F.col(verdict).isNotNull()).groupBy(frame).agg(F.min(stamp).alias("stamp"), F.min(ordinal).alias("_first"))
+    return ranked(firsts, F.substring("stamp", 1, 10), "stamp", "_first", frame).drop("_first")
 
 
-def targeting(df: DataFrame, key: str, bad: Column) -> DataFrame:
-    """A review queue in ascending order of an integer key: n, bad, found in the first fifth, and place of the half.
+def targeting(df: DataFrame, key: Column, bad: Column, tie: str, part: Column) -> DataFrame:
+    """A review queue in ascending order of a key, equal ones in the order of ``tie``: n, bad, bad_in_fifth, queue_for_half.
 
-    Only one row for each key value is ordered globally; within a value regions are taken to be alike, so the
-    half lies at the value's place plus what is needed of it, in proportion and rounded up.
+    bad_in_fifth are the bad rows in the first fifth (a half rounded to even), queue_for_half the rows that hold half of
+    them.  Only one row for each key value is ordered globally, and one for each ``part`` (which must follow tie) of the
+    two values where the places lie; rows are ordered within the part that holds a place.
     """
-    steps = df.groupBy(key).agg(F.count("*").alias("n"), count_if(bad).alias("bad"))
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("n_to", F.sum("n").over(w)).withColumn("bad_to", F.sum("bad").over(w))
-    whole = Window.partitionBy()
-    steps = steps.withColumn("n_all", F.sum("n").over(whole)).withColumn("bad_all", F.sum("bad").over(whole))
-    c = F.col
-    fifth = F.when(c("n_to") <= F.floor(c("n_all") / 5), c("bad_to"))
-    half = F.when(2 * c("bad_to") >= c("bad_all"), c("n_to"))
-    return steps.agg(F.max("n_all").alias("n"), F.max("bad_all").alias("bad"), F.coalesce(F.max(fifth), F.lit(0)).cast("long").alias("bad_in_fifth"), F.min(half).alias("queue_for_half"))
+    c, whole = F.col, Window.partitionBy()
+    df = df.select(key.alias("key"), F.struct(F.col(tie)).alias("tie"), part.alias("part"), bad.cast("long").alias("bad"))
+
+    def upto(rows: DataFrame, level: str) -> DataFrame:
+        """Per value of a level, in each group of those before: rows and bad rows up to its end, counted from the table's start."""
+        by = {"key": [], "part": ["what", "key"], "tie": ["what", "key", "part"]}[level]
+        steps = rows.groupBy(*by, level).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), *([F.first(x).alias(x) for x in ("n0", "bad0", "fifth", "half")] if by else []))
+        w = Window.partitionBy(*by).orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
+        start = (c("n0"), c("bad0")) if by else (F.lit(0), F.lit(0))
+        return steps.withColumn("n_to", start[0] + F.sum("n").over(w)).withColumn("bad_to", start[1] + F.sum("bad").over(w))
+
+    steps = upto(df, "key").withColumn("n_all", F.sum("n").over(whole)).withColumn("bad_all", F.sum("bad").over(whole))
+    steps = steps.withColumn("fifth", F.bround(0.2 * c("n_all")).cast("long")).withColumn("half", c("bad_all") / 2)
+    total = steps.agg(F.max("n_all").alias("n"), F.max("bad_all").alias("bad"))
+    held = (F.col("what") == "fifth") & (c("n_to") >= c("fifth")) & (c("n_to") - c("n") < c("fifth")) | (F.col("what") == "half") & (c("bad_to") >= c("half")) & (c("bad_to") - c("bad") < c("half"))
+    goals = F.explode(F.array(F.lit("fifth"), F.lit("half")))
+    place = [(c("n_to") - c("n")).alias("n0"), (c("bad_to") - c("bad")).alias("bad0"), "fifth", "half"]
+    found = steps.withColumn("what", goals).where(held).select("what", "key", *place)
+    rows = upto(df.join(found, "key"), "part").where(held).select("what", "key", "part", *place)
+    ends = upto(df.join(rows, ["key", "part"]), "tie").where(held)
+    out = ends.agg(F.max(F.when(c("what") == "fifth", c("bad_to"))).alias("bad_in_fifth"), F.min(F.when(c("what") == "half", c("n_to"))).alias("queue_for_half"))
+    return total.crossJoin(out).select("n", "bad", F.coalesce("bad_in_fifth", F.lit(0)).cast("long").alias("bad_in_fifth"), "queue_for_half")  # one row each

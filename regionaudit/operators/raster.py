@@ -51,22 +51,32 @@ def label(mask: np.ndarray) -> np.ndarray:
     return out.reshape(mask.shape)
 
 
-def components(pixels: DataFrame, class_column: str, least: int = 1) -> DataFrame:
-    """Components by frame and class (0 is background): frame, class_id, component (first pixel), px, box."""
+def labelled(pixels: DataFrame, class_column: str, width: int) -> DataFrame:
+    """Pixels (frame, y, x) of 8-connected components of each class (0 is background): class_id, component (its first pixel as y * width + x)."""
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
-        raster = np.zeros((g.y.max() + 1, g.x.max() + 1), np.int64)
+        raster = np.zeros((g.y.max() + 1, width), np.int64)
         raster[g.y, g.x] = g[class_column]
-        rows = []
+        parts = []
         for c in sorted(set(raster[raster > 0].tolist())):
             labels = label(raster == c)
-            for k in range(1, labels.max(initial=0) + 1):
-                y, x = np.nonzero(labels == k)
-                if len(y) >= least:
-                    rows.append((int(g.frame.iloc[0]), c, int(y[0] * 8 + x[0]) if raster.shape[1] <= 8 else int(y[0] * raster.shape[1] + x[0]), len(y), int(x.min()), int(y.min()), int(x.max()), int(y.max())))
-        return pd.DataFrame(rows, columns=["frame", "class_id", "component", "px", "x1", "y1", "x2", "y2"])
+            y, x = np.nonzero(labels)
+            first = np.full(labels.max(initial=0) + 1, raster.size)
+            np.minimum.at(first, labels[y, x], y * width + x)
+            parts.append(pd.DataFrame({"frame": int(g.frame.iloc[0]), "y": y, "x": x, "class_id": c, "component": first[labels[y, x]]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"frame": [], "y": [], "x": [], "class_id": [], "component": []})
 
-    return pixels.groupBy("frame").applyInPandas(work, "frame long, class_id int, component long, px long, x1 int, y1 int, x2 int, y2 int")
+    return pixels.groupBy("frame").applyInPandas(work, "frame long, y int, x int, class_id int, component long")
+
+
+def components(pixels: DataFrame, class_column: str, width: int, least: int = 1) -> DataFrame:
+    """Components of ``least`` pixels or more by frame and class: frame, class_id, component, px, box (see labelled)."""
+    return extents(labelled(pixels, class_column, width), least)
+
+
+def extents(parts: DataFrame, least: int = 1) -> DataFrame:
+    out = parts.groupBy("frame", "class_id", "component").agg(F.count("*").alias("px"), F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
+    return out.where(F.col("px") >= least)
 
 
 def greedy_match(parts: DataFrame, stored: DataFrame, least_iou: float = 0.3) -> DataFrame:

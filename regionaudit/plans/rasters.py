@@ -28,7 +28,7 @@ _COMPONENTS = f"""WITH RECURSIVE {PIXELS}, p AS (SELECT frame, region AS c, y *
 
 @query(f"{_COMPONENTS} SELECT frame, c AS class_id, root::BIGINT AS component, count(*) AS px, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM own GROUP BY frame, c, root")
 def components_8conn(spark, sf_dir):
-    return P.components(pixels(ship(spark), sf_dir), "region")
+    return P.components(pixels(ship(spark), sf_dir), "region", 8)
 
 
 _RING = f"""WITH {PIXELS}, own AS (SELECT frame, y, x FROM pixels WHERE dense = 1 AND region = 0), o AS (SELECT unnest(range(-1, 2)) AS d),
@@ -81,8 +81,8 @@ def annotation_diff(spark, sf_dir):
 def iou_greedy_match(spark, sf_dir):
     """Components of the class map, matched to stored components of the region map."""
     df = pixels(ship(spark), sf_dir)
-    stored = P.components(df, "region").withColumn("ordinal", F.row_number().over(_by_frame()).cast("int"))
-    return P.greedy_match(P.components(df, "dense"), stored.drop("component"))
+    stored = P.components(df, "region", 8).withColumn("ordinal", F.row_number().over(_by_frame()).cast("int"))
+    return P.greedy_match(P.components(df, "dense", 8), stored.drop("component"))
 
 
 def _by_frame():

@@ -190,12 +190,19 @@ def dense_reference_scores(spark, sf_dir):
     return rates(confusion(df, F.col("bbox_a") == "valid", F.col("quality") == "good", "class_name"), zeros=True)
 
 
-@query(f"""WITH {REGIONS} SELECT count(*) AS recorded, count(*) FILTER (bbox_a = 'valid') AS valid_recorded, count(*) FILTER (NOT prefiltered) AS answered, count(*) FILTER (bbox_a = 'valid' AND lidar_pm % 7 <> 0) AS valid_answered,
- count(*) FILTER (bbox_a = 'valid' AND lidar_pm % 7 <> 0) <= count(*) FILTER (bbox_a = 'valid') AS bound_holds FROM regions""")
+@query(f"""WITH {REGIONS}, s AS (SELECT count(*) AS total, count(*) FILTER (NOT (lidar_pm % 7 = 0 AND NOT prefiltered)) AS answered_a, count(*) FILTER (bbox_a = 'valid' AND lidar_pm % 7 <> 0) AS valid_answered_a, count(*) FILTER (bbox_b = 'valid') AS valid_recorded_b FROM regions)
+ SELECT *, 100 * valid_answered_a / answered_a AS least_a, 100 * valid_recorded_b / total AS most_b, CASE WHEN valid_answered_a * total > valid_recorded_b * answered_a THEN 'a is more permissive' ELSE 'inconclusive' END AS verdict FROM s""")
 def permissiveness_bound(spark, sf_dir):
+    """Run a tells which verdicts are substituted defaults (valid), run b does not.
+
+    Defaults only push a rate up, so b's rate of valid answers is at most its recorded one; a is more permissive if its rate
+    over answered masks is above that.  Masks that were filtered before count as they are recorded.
+    """
     c = F.col
-    out = regions(spark, sf_dir).agg(F.count("*").alias("recorded"), count_if(c("bbox_a") == "valid").alias("valid_recorded"), count_if(~c("prefiltered")).alias("answered"), count_if((c("bbox_a") == "valid") & (c("lidar_pm") % 7 != 0)).alias("valid_answered"))
-    return out.withColumn("bound_holds", c("valid_answered") <= c("valid_recorded"))
+    defaulted = (c("lidar_pm") % 7 == 0) & ~c("prefiltered")
+    out = regions(spark, sf_dir).agg(F.count("*").alias("total"), count_if(~defaulted).alias("answered_a"), count_if((c("bbox_a") == "valid") & ~defaulted).alias("valid_answered_a"), count_if(c("bbox_b") == "valid").alias("valid_recorded_b"))
+    above = c("valid_answered_a") * c("total") > c("valid_recorded_b") * c("answered_a")
+    return out.select("*", (100 * c("valid_answered_a") / c("answered_a")).alias("least_a"), (100 * c("valid_recorded_b") / c("total")).alias("most_b"), F.when(above, "a is more permissive").otherwise("inconclusive").alias("verdict"))
 
 
 def _sweep_sql(lidar: str, large: str, small: str) -> str:
@@ -241,7 +248,7 @@ def top_candidates_round_robin(spark, sf_dir):
 def stride_sample(spark, sf_dir):
     from ..operators.select import stride
 
-    return stride(regions(spark, sf_dir).select("frame_id").distinct(), "frame_id", 100)
+    return stride(regions(spark, sf_dir).select("frame_id").distinct(), "frame_id", 100, F.substring("frame_id", 1, 14))
 
 
 @query(f"WITH {REGIONS} SELECT frame_id, class_name, sum(pixel_count)::BIGINT AS px FROM regions GROUP BY ALL")

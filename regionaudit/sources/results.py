@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 MASK = """struct<mask_id:int,class_id:int,class_name:string,bbox:array<int>,pixel_count:int,agents:struct<bbox:string,quality:string,consistency:string>,
  scores:struct<swin_agreement:double,lidar_support:double,swin_bypass:boolean,swin_q_threshold:double,swin_skip_threshold:double>,triage:string,
  parse_failed:map<string,struct<degenerate:boolean,raw:string>>,timing:struct<elapsed_seconds:double,agent_seconds:struct<bbox:double,quality:double,consistency:double>,vlm_calls:int>,
@@ -46,21 +48,22 @@ def run_tags(df: DataFrame) -> list[str]:
 
 
 def typed(text):
-    """Booleans, integers and decimals of a cell, each in a field of its own; else null fields."""
+    """Booleans, integers and decimals of a cell, each in a field of its own; null where the cell is something else."""
     number = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.struct(F.lower(text).isin("true", "false").alias("is_flag"), F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")).alias("whole"), F.when(number, text.try_cast("double")).alias("number"))
+    return F.struct(F.when(F.lower(text).isin("true", "false"), F.lower(text) == "true").alias("flag"), F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")).alias("whole"), F.when(number, text.try_cast("double")).alias("number"))
 
 
 def frame_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_extract("value", r"([^/]+?)(\.[^./]*)?$", 1).alias("frame_id")).where("frame_id <> ''")
 
 
-def weather(spark: SparkSession, path: str) -> DataFrame:
-    """Weather condition by frame from metadata documents; unknown values are rain, other times than day are night."""
+def weather(spark: SparkSession, path: str, frames: DataFrame | None = None) -> DataFrame:
+    """Weather condition by frame from metadata documents; of ``frames`` (frame_id) those without a document are day_fair."""
     df = spark.read.schema("scraped_weather string, time_of_day string").option("multiLine", True).json(path).withColumn("path", F.input_file_name())
-    kind = F.when(F.col("scraped_weather").contains("snow"), "snow").when(F.col("scraped_weather").rlike("clear|cloudy|fair"), "fair").otherwise("rain")
-    time = F.when(F.col("time_of_day") == "day", "day").otherwise("night")
-    return df.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("frame_id"), F.when(kind == "snow", "snow").otherwise(F.concat(time, F.lit("_"), kind)).alias("weather"))
+    known = df.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("frame_id"), rules.weather(F.col("scraped_weather"), F.col("time_of_day")).alias("weather"))
+    if frames is None:
+        return known
+    return frames.select("frame_id").join(known, "frame_id", "left").withColumn("weather", F.coalesce("weather", F.lit("day_fair")))
 
 
 def rasters(spark: SparkSession, folder: str) -> DataFrame:
