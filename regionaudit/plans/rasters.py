@@ -31,46 +31,6 @@ def components_8conn(spark, sf_dir):
     return P.components(pixels(ship(spark), sf_dir), "region", 8)
 
 
-_RING = f"""WITH {PIXELS}, own AS (SELECT frame, y, x FROM pixels WHERE dense = 1 AND region = 0), o AS (SELECT unnest(range(-1, 2)) AS d),
- ring AS (SELECT DISTINCT frame, own.y + a.d AS y, own.x + b.d AS x FROM own, o a, o b), r AS (SELECT ring.* FROM ring ANTI JOIN own USING (frame, y, x))"""
-
-
-def _ring(spark, sf_dir):
-    df = pixels(spark, sf_dir)
-    own = df.where("dense = 1 AND region = 0").select("frame", "y", "x")
-    ring = P.dilated(own, 1, 8, 8, "frame").join(own, ["frame", "y", "x"], "left_anti")
-    return ring.join(df, ["frame", "y", "x"])
-
-
-@query(f"{_RING} SELECT frame, count(*) AS ring, count(*) FILTER (region > 0) AS covered, 5 * count(*) FILTER (region > 0) > count(*) AS fringe FROM r JOIN pixels USING (frame, y, x) GROUP BY frame")
-def ring_share(spark, sf_dir):
-    out = _ring(spark, sf_dir).groupBy("frame").agg(F.count("*").alias("ring"), count_if(F.col("region") > 0).alias("covered"))
-    return out.withColumn("fringe", 5 * F.col("covered") > F.col("ring"))
-
-
-@query(f"{_RING} SELECT frame, bool_or(region = 1) AS touches_own_class FROM r JOIN pixels USING (frame, y, x) GROUP BY frame")
-def geometry_gate(spark, sf_dir):
-    return _ring(spark, sf_dir).groupBy("frame").agg(F.bool_or(F.col("region") == 1).alias("touches_own_class"))
-
-
-_PAINT = "CASE WHEN region > 0 AND NOT (region = 2 AND NOT lidar) THEN region WHEN dense > 0 THEN dense ELSE 0 END"
-
-
-@query(f"WITH {PIXELS} SELECT frame, {_PAINT} AS painted, count(*) AS px FROM pixels GROUP BY ALL")
-def paint_annotation(spark, sf_dir):
-    """Rejected pixels are freed, and candidates paint whatever is free then."""
-    kept = (F.col("region") > 0) & ~((F.col("region") == 2) & ~F.col("lidar"))
-    painted = F.when(kept, F.col("region")).when(F.col("dense") > 0, F.col("dense")).otherwise(0)
-    return pixels(spark, sf_dir).groupBy("frame", painted.alias("painted")).agg(F.count("*").alias("px"))
-
-
-@query(f"""WITH {PIXELS}, b AS (SELECT dense AS class_id, count(*) AS px, count(*) FILTER (region = 0) AS added, count(*) FILTER (region > 0) AS covered FROM pixels WHERE dense > 0 GROUP BY dense)
- SELECT *, px - added - covered AS gap FROM b""")
-def pixel_budget(spark, sf_dir):
-    out = pixels(spark, sf_dir).where("dense > 0").groupBy(F.col("dense").alias("class_id")).agg(F.count("*").alias("px"), count_if(F.col("region") == 0).alias("added"), count_if(F.col("region") > 0).alias("covered"))
-    return out.withColumn("gap", F.col("px") - F.col("added") - F.col("covered"))
-
-
 @query(f"WITH {PIXELS} SELECT frame, count(*) FILTER (dense > 0 AND region = 0) AS removed, count(*) FILTER (dense = 0 AND region > 0) AS added, count(*) FILTER (dense > 0 AND region > 0 AND dense <> region) AS changed FROM pixels GROUP BY frame")
 def annotation_diff(spark, sf_dir):
     d, r = F.col("dense"), F.col("region")
