@@ -181,11 +181,30 @@ def first_token(raw: Column, tokens: tuple[str, ...]) -> Column:
     return out
 
 
+RAW_CHARS = 120
+
+
 def attempt_value(attempts: Column, parse: Callable[[Column], Column], default: str) -> Column:
-    """From an array of raw replies: the first that parses, else the safe default; with flags."""
+    """From an array of raw replies: the first that parses, else the safe default; parse_failed, degenerate and raw tell of the last reply then."""
     good = F.filter(F.transform(attempts, parse), lambda v: v.isNotNull())
-    failed = F.size(good) == 0
-    return F.struct(F.coalesce(F.get(good, 0), F.lit(default)).alias("value"), failed.alias("parse_failed"), (failed & F.exists(attempts, degenerate)).alias("degenerate"))
+    failed, last = F.size(good) == 0, F.element_at(attempts, -1)
+    return F.struct(F.coalesce(F.get(good, 0), F.lit(default)).alias("value"), failed.alias("parse_failed"), (failed & degenerate(last)).alias("degenerate"), F.when(failed, F.substring(last, 1, RAW_CHARS)).alias("raw"))
+
+
+def decider(bbox: str, quality: str) -> Column:
+    """What decided on a mask: the filter before the judges, the dense score alone, or the model."""
+    b, q = F.col(bbox), F.col(quality)
+    return F.when(b.isNull() & q.isNull(), "prefilter").when(b.isNull(), "dense_only").otherwise("model")
+
+
+def confirmation_stratum(yes: Column, runs: int) -> Column:
+    """neither, both (all runs) or the first of the sorted runs that confirmed, as ``<run>_only``."""
+    return F.when(F.size(yes) == 0, "neither").when(F.size(yes) == runs, "both").otherwise(F.concat(F.get(yes, 0), F.lit("_only")))
+
+
+def geometry(same_class: Column, kept: Column) -> Column:
+    """Outcome of a candidate by whether it lies against its own class and whether a human kept it."""
+    return F.when(same_class & kept, "boundary growth").when(same_class, "edge bleed").when(kept, "new object").otherwise("false alarm")
 
 
 def fold_class(name: Column) -> Column:
