@@ -1,4 +1,4 @@
 """All queries by name, and their SQL."""
 
-from . import candidates, health, joining, painting, rasters, scoring, triage  # noqa: F401
+from . import candidates, health, joining, painting, rasters, scoring, splitting, triage  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
