@@ -26,24 +26,21 @@ from ._text import binary16, keys, mix
 
 #: A list this long or shorter gives all its pairs.
 SHORT = 8
-#: The same for sets with places, whose postings have a 64-bit bitmap that leaves few pairs.
-SHORT_PLACED = 128
 #: Of a long list sorted by size, every set is paired with the first of each run of so many.
 RUN = 64
 ORDER_BITS, FILTER_BITS = 24, 25
 
-#: From a batch: lists of sets, with the place (two numbers to order by) where each was met.
-Sets = Callable[[pa.RecordBatch], Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]]
+#: From a batch: lists of sets.
+Sets = Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]]
 
-_POSTING = np.dtype([("h", "<u4"), ("node", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("first", "<u8"), ("sub", "<u4"), ("sig", "<u8")])
-_SMALL = np.dtype(_POSTING.descr[:4])
+_POSTING = np.dtype([("h", "<u4"), ("node", "<u8"), ("n", "<u4"), ("pos", "<u4")])
 
 
 def order_levels(df: DataFrame, sets: Sets, least: int = 3) -> np.ndarray:
     """How frequent hashes are, by bucket; ``least``: see _sketch.bucket_sums."""
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for own, _, _ in sets(batch):
+        for own in sets(batch):
             if own:
                 yield np.concatenate(own)
 
@@ -58,33 +55,29 @@ def leading(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray
     return s[np.argsort(rare, kind="stable")[:n]]
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], sets: Sets, room: int = 1 << 20):
-    """The sets of a task without repeats (of the last ``room`` sets or so); with places, repeats at an earlier place stay."""
-    seen: dict[int, tuple] = {}
+def _distinct(batches: Iterator[pa.RecordBatch], sets: Sets, room: int = 1 << 20) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The sets of a task, with their keys, without repeats (of the last ``room`` sets or so)."""
+    seen: set[int] = set()
     for batch in batches:
-        for own, first, sub in sets(batch):
+        for own in sets(batch):
             k = keys(own)
             keep = []
             for i, (s, node) in enumerate(zip(own, k[:, 0].tolist(), strict=True)):
-                if not len(s):
-                    continue
-                place = (int(first[i]), int(sub[i]))
-                if node not in seen or place < seen[node]:
-                    seen[node] = place
+                if len(s) and node not in seen:
+                    seen.add(node)
                     keep.append(i)
             if len(seen) > room:
-                seen = {}
+                seen = set()
             if keep:
-                yield [own[i] for i in keep], k[keep], first[keep], sub[keep]
+                yield [own[i] for i in keep], k[keep]
 
 
-def candidates(df: DataFrame, sets: Sets, num: int, den: int, levels: np.ndarray, placed: bool = False) -> DataFrame:
-    """Candidate pairs (kind 0: x, y, nodes) and members of long lists (kind 1: x node, y list, n, pos, first, sub)."""
+def candidates(df: DataFrame, sets: Sets, num: int, den: int, levels: np.ndarray) -> DataFrame:
+    """Candidate pairs (kind 0: x, y, nodes) and members of long lists (kind 1: x node, y list, n, pos, and the list's length)."""
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = 4 * parts
     shared = spark.sparkContext.broadcast(levels)
-    dtype = _POSTING if placed else _SMALL
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -98,14 +91,11 @@ def candidates(df: DataFrame, sets: Sets, num: int, den: int, levels: np.ndarray
             raw = [every[a:b].tobytes() for a, b in zip(at, [*at[1:], len(block)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(block[at], pa.int32()), pa.array(raw, pa.binary())], ["block", "packed"])
 
-        for own, k, first, sub in _distinct(batches, sets):
+        for own, k in _distinct(batches, sets):
             for i, s in enumerate(own):
                 lead = leading(s, shared.value, num, den)
-                rows = np.empty(len(lead), dtype)
+                rows = np.empty(len(lead), _POSTING)
                 rows["h"], rows["node"], rows["n"], rows["pos"] = lead >> np.uint64(32), k[i, 0], len(s), np.arange(len(lead))
-                if placed:
-                    rows["first"], rows["sub"] = first[i], sub[i]
-                    rows["sig"] = np.frombuffer(parity_bits(s, 64), np.uint64)
                 held.append((rows, (lead % np.uint64(blocks)).astype(np.int64)))
                 n += len(lead)
             if n > 1 << 18:
@@ -121,10 +111,10 @@ def candidates(df: DataFrame, sets: Sets, num: int, den: int, levels: np.ndarray
                 by.setdefault(block, []).append(raw)
         while by:
             block, raws = by.popitem()
-            yield from _block(block, np.frombuffer(b"".join(raws), dtype), num, den, placed)
+            yield from _block(block, np.frombuffer(b"".join(raws), _POSTING), num, den)
 
     packed = df.mapInArrow(post, "block int, packed binary").repartition(parts, "block")
-    return packed.mapInArrow(join, "kind int, x long, y long, n long, pos long, first long, sub long")
+    return packed.mapInArrow(join, "kind int, x long, y long, n long, pos long, length long")
 
 
 def _pairs_ok(p: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -133,58 +123,48 @@ def _pairs_ok(p: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -
     pa_, pb = p["pos"][a].astype(np.int64), p["pos"][b].astype(np.int64)
     most = np.minimum(pa_, pb) + 1 + np.minimum(na - pa_, nb - pb) - 1
     near = p["node"][a] != p["node"][b]
-    if "sig" in p.dtype.names:
-        apart = np.bitwise_count(p["sig"][a] ^ p["sig"][b])
-        near &= (num + den) * ((na + nb - apart) // 2) >= num * (na + nb)
     return near & (num * np.maximum(na, nb) <= den * np.minimum(na, nb)) & ((num + den) * most >= num * (na + nb))
 
 
-def _block(block: int, p: np.ndarray, num: int, den: int, placed: bool) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((p["sub"], p["first"], p["node"], p["h"])) if placed else np.lexsort((p["node"], p["h"]))
-    p = p[order]
+def _block(block: int, p: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    p = p[np.lexsort((p["node"], p["h"]))]
     new = np.ones(len(p), bool)
     new[1:] = (p["h"][1:] != p["h"][:-1]) | (p["node"][1:] != p["node"][:-1])
-    p = p[new]  # of a set's repeats, the first place
-    p = p[np.lexsort((p["node"], p["sub"], p["first"], p["h"])) if placed else np.lexsort((p["node"], p["n"], p["h"]))]
+    p = p[new]
+    p = p[np.lexsort((p["node"], p["n"], p["h"]))]
     starts = np.flatnonzero(np.diff(p["h"].astype(np.int64), prepend=-1))
     lengths = np.diff(np.append(starts, len(p)))
     where, length = np.repeat(starts, lengths), np.repeat(lengths, lengths)
     at = np.arange(len(p))
     one, two = [], []
-    short = SHORT_PLACED if placed else SHORT
-    some = np.flatnonzero(length <= short)
-    for d in range(1, short):
+    some = np.flatnonzero(length <= SHORT)
+    for d in range(1, SHORT):
         some = some[(at - where)[some] >= d]
         if not len(some):
             break
-        ok = _pairs_ok(p, some - d, some, num, den)
-        one.append(some[ok] - d), two.append(some[ok])
-    wide = np.flatnonzero(length > short)
-    if placed:
-        one.append(where[wide]), two.append(wide)
-    else:
-        for d in (1, 2):
-            a = wide[(at - where)[wide] >= d]
-            one.append(a - d), two.append(a)
-        one.append((wide - (wide - where[wide]) % RUN)), two.append(wide)
-        later = wide[(wide - where[wide]) % RUN == 0]
-        later = later[later > where[later]]
-        one.append(later - RUN), two.append(later)
+        one.append(some - d), two.append(some)
+    wide = np.flatnonzero(length > SHORT)
+    for d in (1, 2):
+        a = wide[(at - where)[wide] >= d]
+        one.append(a - d), two.append(a)
+    one.append((wide - (wide - where[wide]) % RUN)), two.append(wide)
+    later = wide[(wide - where[wide]) % RUN == 0]
+    later = later[later > where[later]]
+    one.append(later - RUN), two.append(later)
     a, b = np.concatenate(one), np.concatenate(two)
     ok = _pairs_ok(p, a, b, num, den)
     x, y = p["node"][a[ok]].view(np.int64), p["node"][b[ok]].view(np.int64)
     pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
     zero = np.zeros(len(pair), np.int64)
-    yield _rows(np.zeros(len(pair), np.int32), pair[:, 0], pair[:, 1], zero, zero, zero, zero)
+    yield _rows(np.zeros(len(pair), np.int32), pair[:, 0], pair[:, 1], zero, zero, zero)
     if len(wide):
         w = p[wide]
         list_id = mix(w["h"].astype(np.uint64) | np.uint64(block << 32)).view(np.int64)
-        extra = [w["first"].view(np.int64) if w["first"].flags.c_contiguous else np.ascontiguousarray(w["first"]).view(np.int64), w["sub"].astype(np.int64)] if placed else [np.zeros(len(w), np.int64)] * 2
-        yield _rows(np.ones(len(w), np.int32), np.ascontiguousarray(w["node"]).view(np.int64), list_id, w["n"].astype(np.int64), w["pos"].astype(np.int64), *extra)
+        yield _rows(np.ones(len(w), np.int32), np.ascontiguousarray(w["node"]).view(np.int64), list_id, w["n"].astype(np.int64), w["pos"].astype(np.int64), length[wide])
 
 
 def _rows(*cols: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "x", "y", "n", "pos", "first", "sub"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "x", "y", "n", "pos", "length"])
 
 
 def parity_bits(s: np.ndarray, most: int = 1 << 62) -> bytes:
@@ -225,24 +205,19 @@ TILE = 4096
 SMALL_BITS, NAMED = 4096, 16
 
 
-def remaining(wide: DataFrame, bits: DataFrame, num: int, den: int, placed: bool = False) -> DataFrame:
-    """Distinct pairs (x, y) of members of one long list that still matter and that size, position and bitmap allow.
+def remaining(wide: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (x, y) of members of one long list that have different labels and that size, position and bitmap allow.
 
-    wide: list, x, n, pos and what tells whether a pair matters.  Not placed: label, which must differ.  Placed:
-    place and best (structs first, sub): one's place must be before the other's best.  bits: node, small.
-    A pair that several lists share comes from the least of them; where that can't be told from the few lists
-    named in a row, from all, and repeats go afterwards.
+    wide: list, x, n, pos, length (of the list) and label.  bits: node, small.  A pair that several lists share comes
+    from the least of them; where that can't be told from the few lists named in a row, from all, and repeats go afterwards.
     """
     parts = max(1, int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lists = wide.groupBy("x").agg(F.slice(F.sort_array(F.collect_set("list")), 1, NAMED).alias("lists"))
     nodes = lists.join(bits.select(F.col("node").alias("x"), F.col("small").alias("bits")), "x")
-    tiles = wide.groupBy("list").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    tags = ["place.first", "place.sub", "best.first", "best.sub"] if placed else [F.xxhash64("label"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long")]
-    tags = [(F.col(t) if isinstance(t, str) else t).alias(f"t{i}") for i, t in enumerate(tags)]
-    rows = wide.select("list", "x", "n", "pos", *tags).join(tiles, "list").withColumn("tile", F.pmod(F.xxhash64("x"), "tiles").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("list", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "x", "n", "pos", "t0", "t1", "t2", "t3").join(nodes, "x")
-    rows = rows.select("list", "a", "b", "tile", "x", "n", "pos", "t0", "t1", "t2", "t3", "bits", "lists").repartition(parts, "list", "a", "b").sortWithinPartitions("list", "a", "b", "n")
+    rows = wide.select("list", "x", "n", "pos", F.xxhash64("label").alias("label"), F.ceil(F.col("length") / TILE).cast("int").alias("tiles"))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("x"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("list", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "x", "n", "pos", "label").join(nodes, "x")
+    rows = rows.select("list", "a", "b", "tile", "x", "n", "pos", "label", "bits", "lists").repartition(parts, "list", "a", "b").sortWithinPartitions("list", "a", "b", "n")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -250,42 +225,37 @@ def remaining(wide: DataFrame, bits: DataFrame, num: int, den: int, placed: bool
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != now:
                     if len(held) > 1:
-                        yield _compared(held, num, den, placed)
+                        yield _compared(held, num, den)
                     now, held = row[:3], []
                 held.append((*row[3:], row[0]))
         if len(held) > 1:
-            yield _compared(held, num, den, placed)
+            yield _compared(held, num, den)
 
     return rows.mapInArrow(compare, "x long, y long").distinct()
 
 
-def _compared(held: list[tuple], num: int, den: int, placed: bool) -> pa.RecordBatch:
-    tile, x, n, pos = (np.array([h[k] for h in held], np.int64) for k in range(4))
-    tags = np.array([h[4:8] for h in held], np.int64)
-    if placed:
-        ranks = np.unique(np.concatenate([tags[:, :2], tags[:, 2:]]), axis=0, return_inverse=True)[1].reshape(-1)
-        place, best = ranks[: len(held)], ranks[len(held) :]
-    raw = [np.frombuffer(h[8], np.uint8) for h in held]
+def _compared(held: list[tuple], num: int, den: int) -> pa.RecordBatch:
+    tile, x, n, pos, label = (np.array([h[k] for h in held], np.int64) for k in range(5))
+    raw = [np.frombuffer(h[5], np.uint8) for h in held]
     at_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for width in {len(b) for b in raw}:
         own = [i for i, b in enumerate(raw) if len(b) in (width, 2 * width)]
         matrix = np.stack([raw[i] if len(raw[i]) == width else raw[i][:width] ^ raw[i][width:] for i in own])
         at_width[width] = np.array(own), matrix
     one, two = [], []
-    shared, crossed = held[0][10], tile.min() != tile.max()
+    shared, crossed = held[0][7], tile.min() != tile.max()
     for i in range(len(held) - 1):
         own, matrix = at_width[len(raw[i])]
         j = slice(np.searchsorted(own, i, "right"), np.searchsorted(own, np.searchsorted(n, n[i] * den // num, "right")))
         c = own[j]
-        differ = ((place[c] < best[i]) | (place[i] < best[c])) if placed else tags[c, 0] != tags[i, 0]
         most = np.minimum(pos[c], pos[i]) + np.minimum(n[c] - pos[c], n[i] - pos[i])
-        ok = np.flatnonzero(differ & (x[c] != x[i]) & ((num + den) * most >= num * (n[c] + n[i])))
+        ok = np.flatnonzero((label[c] != label[i]) & (x[c] != x[i]) & ((num + den) * most >= num * (n[c] + n[i])))
         ok = ok[tile[c[ok]] != tile[i]] if crossed else ok
         if not len(ok):
             continue
         apart = np.bitwise_count(matrix[j][ok] ^ raw[i]).sum(axis=1, dtype=np.int64)
         for k in c[ok[(num + den) * ((n[c[ok]] + n[i] - apart) // 2) >= num * (n[c[ok]] + n[i])]].tolist():
-            common = np.intersect1d(held[i][9], held[k][9], assume_unique=True)
+            common = np.intersect1d(held[i][6], held[k][6], assume_unique=True)
             if not len(common) or common[0] == shared:
                 one.append(min(int(x[i]), int(x[k])))
                 two.append(max(int(x[i]), int(x[k])))
@@ -300,7 +270,7 @@ def verified(df: DataFrame, sets: Sets, pairs: DataFrame, num: int, den: int) ->
     shared = spark.sparkContext.broadcast(bits)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, k, _, _ in _distinct(batches, sets):
+        for own, k in _distinct(batches, sets):
             keep = np.flatnonzero(_sketch.in_bitmap(shared.value, mix(k[:, 0])))
             for low in range(0, len(keep), 256):
                 part = keep[low : low + 256]

@@ -131,13 +131,6 @@ def shingle_sets(array: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield low + r, np.unique(own)
 
 
-def token_sets(array: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row its number and sorted distinct word hashes, A-Z lower-cased."""
-    for low, w in chunked(array, fold=True):
-        for r in range(len(w.rows) - 1):
-            yield low + r, np.unique(w.hashes[w.rows[r] : w.rows[r + 1]])
-
-
 def keys(sets: list[np.ndarray]) -> np.ndarray:
     """A 16-byte key of each set of hashes, as an (n, 2) array; equal sets have equal keys."""
     out = np.zeros((len(sets), 2), np.uint64)

@@ -22,19 +22,20 @@ from ._scratch import written
 from ._text import binary16, keys, shingle_sets
 
 NUM, DEN = 4, 5
+#: Tasks that a long list's members are dealt to.
+SALTS = 32
 
 
 def _sets_of(words: int, column: int = 0) -> _setjoin.Sets:
-    def sets(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    def sets(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
         held: list[np.ndarray] = []
-        zero = lambda: np.zeros(len(held), np.uint64)
         for _, s in shingle_sets(batch.column(column), words):
             held.append(s)
             if len(held) == 1024:
-                yield held, zero(), zero()
+                yield held
                 held = []
         if held:
-            yield held, zero(), zero()
+            yield held
 
     return sets
 
@@ -76,10 +77,11 @@ def _labels(df: DataFrame, marks: DataFrame, sets: _setjoin.Sets, num: int, den:
     labels = written(_setjoin.components(links))
     # what long lists have left: pairs of sets in different components
     node = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
-    wide = found.where("kind = 1").select(F.col("x"), F.col("y").alias("list"), "n", "pos")
+    wide = found.where("kind = 1").select(F.col("x"), F.col("y").alias("list"), "n", "pos", "length")
     wide = wide.join(labels.select(node.alias("x"), F.hex("label").alias("label")), "x", "left").withColumn("label", F.coalesce("label", F.hex("x")))
-    mixed = wide.groupBy("list").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("list")
-    wide = written(wide.drop("y").join(mixed, "list", "left_semi"))
+    mixed = wide.groupBy("list").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("list", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    wide = wide.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))  # a long list isn't one task's
+    wide = written(wide.join(mixed, ["list", "salt"], "left_semi").drop("salt"))
     rest = _setjoin.possible(written(_setjoin.remaining(wide, bits, num, den).join(pairs, ["x", "y"], "left_anti")), bits, num, den)
     if rest.isEmpty():
         return labels
