@@ -17,8 +17,8 @@ from .quality_rules import n_words
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT, MAX_EPOCHS, SEED = 150, 2, 42
-#: A source's seeded order is cut into so many buckets; only one of them is ever sorted.
-BUCKETS = 1 << 16
+#: A source's seeded order is cut into so many buckets, and the one that holds the target's end into so many again; only one of those is ever sorted.
+BUCKETS = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -38,27 +38,43 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     A null text has size 0.  Null is a source of its own, the last one.  Documents of size 0 follow their
     source's repetitions; a source without words has target 0 and no copies.  Equal rows come next to each
-    other in the seeded order and may differ in copies by one.  Reruns on the same rows agree, but for which of
-    several rows with equal id and text is the one that gets the last copy.
+    other in the seeded order and are taken equally often, so that they may leave the target by half of their words.  Reruns on the same rows agree.  An empty table gives an empty
+    result; texts may be of any length.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     draw = F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column))
     sized = docs.select(row, F.col(source_column).alias("source"), n_words(F.coalesce(F.col(text_column), F.lit(""))).alias("size"), draw.alias("draw"))
-    sized = sized.withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)).cast("int"))
-    by_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    # places in the seeded order: bucket, part of it, draw
+    bucket, part = F.pmod("draw", F.lit(BUCKETS)).cast("int"), F.pmod(F.shiftright("draw", 32), F.lit(BUCKETS)).cast("int")
+    narrow = written(sized.select("source", "size", "draw")).withColumn("bucket", bucket).withColumn("part", part)
+    by_bucket = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     targets = source_targets(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")))
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    targets = targets.withColumn("whole", rate).withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    cut = by_bucket.withColumn("upto", upto).alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-    cut = cut.where(F.col("upto") - F.col("words") < F.col("wanted")).groupBy("t.source").agg(F.max(F.struct("bucket", (F.col("wanted") - F.col("upto") + F.col("words")).alias("left"))).alias("last"))
-    plan = targets.alias("t").join(cut.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.*", F.coalesce("last.bucket", F.lit(-1)).alias("cut"), "last.left")
-    plan = written(plan)  # a row a source; its known size lets Spark broadcast it, or not, so that a hot source isn't one task
-    placed = sized.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.*", "source_size", "target", "whole", "cut", "left")
-    clear = placed.where("bucket <> cut").withColumn("extra", (F.col("bucket") < F.col("cut")).cast("long"))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, 0))
-    edge = placed.where("bucket = cut").withColumn("extra", (upto - F.col("size") / 2 <= F.col("left")).cast("long"))
-    return clear.unionByName(edge).select("row", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("long").alias("copies"))
+    plan = targets.withColumn("whole", rate).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = _cut(plan, by_bucket, "bucket", "cut")
+    plan = _cut(plan, _of(narrow, plan).where("bucket = cut").groupBy("source", "part").agg(F.sum("size").alias("words")), "part", "cut_part")
+    last = _of(narrow, plan).where("bucket = cut AND part = cut_part").groupBy("source", "draw", "left").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0))
+    last = last.withColumn("upto", upto).where(F.col("upto") - F.col("words") / 2 <= F.col("left")).groupBy("source").agg(F.max("draw").alias("cut_draw"))
+    plan = written(_of(plan, last, "left"))
+    taken = (F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & ((F.col("part") < F.col("cut_part")) | ((F.col("part") == F.col("cut_part")) & (F.col("draw") <= F.col("cut_draw")))))
+    placed = _of(sized.withColumn("bucket", bucket).withColumn("part", part), plan)
+    return placed.select("row", "size", "source_size", "target", (F.col("whole") + F.coalesce(taken, F.lit(False)).cast("long")).cast("long").alias("copies"))
+
+
+def _of(df: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
+    """df with what a plan, a row a source, says of each row's source.  Plans are written, so that Spark knows when to broadcast them."""
+    other = plan.withColumnRenamed("source", "_source")
+    return df.join(other, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
+
+
+def _cut(plan: DataFrame, words: DataFrame, level: str, name: str) -> DataFrame:
+    """The plan with the value of ``level`` in which each source's target ends, as ``name``, and what is left of the target there."""
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy(level).rowsBetween(Window.unboundedPreceding, 0))
+    ends = _of(words.withColumn("upto", upto), plan.select("source", "left")).where(F.col("upto") - F.col("words") < F.col("left"))
+    ends = ends.groupBy("source").agg(F.max(F.struct(F.col(level), (F.col("left") - F.col("upto") + F.col("words")).alias("rest"))).alias("end"))
+    out = _of(plan, ends, "left").withColumn(name, F.coalesce(f"end.{level}", F.lit(-1)))
+    return written(out.withColumn("left", F.coalesce("end.rest", F.lit(0.0))).drop("end"))
 
 
 def mix_report(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
