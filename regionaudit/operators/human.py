@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from .select import ranked
 
 
-def count_if(condition: Column) -> Column:
-    return F.sum(F.when(condition, 1).otherwise(0)).cast("long")
+def count_if(condition: Column, weight: Column | int = 1) -> Column:
+    return F.sum(F.when(condition, weight).otherwise(0)).cast("long")
 
 
-def confusion(df: DataFrame, keeps: Column, correct: Column, *by: str) -> DataFrame:
-    """Counts of kept and deleted regions against the human verdict."""
-    return df.groupBy(*by).agg(
-        count_if(keeps & correct).alias("tp"), count_if(keeps & ~correct).alias("fp"), count_if(~keeps & correct).alias("fn"), count_if(~keeps & ~correct).alias("tn")
-    )
+def confusion(df: DataFrame, keeps: Column, correct: Column, *by: str, weight: Column | int = 1) -> DataFrame:
+    """Counts of kept and deleted regions against the human verdict; ``weight``: for how many regions a row stands."""
+    cells = {"tp": keeps & correct, "fp": keeps & ~correct, "fn": ~keeps & correct, "tn": ~keeps & ~correct}
+    return df.groupBy(*by).agg(*[count_if(c, weight).alias(n) for n, c in cells.items()])
 
 
 def rates(counts: DataFrame, zeros: bool = False) -> DataFrame:
@@ -39,12 +38,16 @@ def rates(counts: DataFrame, zeros: bool = False) -> DataFrame:
 
 
 def fold(long: DataFrame, keys: list[str], ordinal: str, labeler: str, verdict: str, first: list[str]) -> DataFrame:
-    """One row for each key: the first row's metadata, and the last verdict of each labeler as a map in order of their first rows."""
+    """One row for each key: the first row's metadata, and the last verdict of each labeler (see verdicts)."""
     meta = long.groupBy(*keys).agg(F.min_by(F.struct(*first), ordinal).alias("meta"))
+    return meta.join(verdicts(long, keys, ordinal, labeler, verdict), keys, "left").select(*keys, "meta.*", "labelers")
+
+
+def verdicts(long: DataFrame, keys: list[str], ordinal: str, labeler: str, verdict: str) -> DataFrame:
+    """The last verdict of each labeler as a map, in the order of the labelers' first rows, for keys that have a labeler."""
     last = long.where(F.col(labeler).isNotNull()).groupBy(*keys, labeler).agg(F.min(ordinal).alias("since"), F.max_by(verdict, ordinal).alias("v"))
     entries = F.transform(F.array_sort(F.collect_list(F.struct("since", labeler, "v"))), lambda e: F.struct(e[labeler], e["v"]))
-    maps = last.groupBy(*keys).agg(F.map_from_entries(entries).alias("labelers"))
-    return meta.join(maps, keys, "left").select(*keys, "meta.*", "labelers")
+    return last.groupBy(*keys).agg(F.map_from_entries(entries).alias("labelers"))
 
 
 def consensus(labelers: Column) -> Column:

@@ -47,7 +47,7 @@ _PARTITION = "CASE WHEN y > x THEN 'correct' WHEN x > y THEN 'incorrect' WHEN y
  SELECT class_name, {_PARTITION} AS part, count(*) AS masks, count(DISTINCT frame_id) AS frames FROM c GROUP BY ALL""")
 def verdict_partition(spark, sf_dir):
     """Masks whose consensus is resolved, tied, or pending for want of a verdict."""
-    folded = H.fold(_long(spark, sf_dir), ["frame_id", "mask_id"], "ord", "labeler", "verdict", ["class_name"]).drop("class_name")
+    folded = H.verdicts(_long(spark, sf_dir), ["frame_id", "mask_id"], "ord", "labeler", "verdict")
     df = regions(spark, sf_dir).select("frame_id", "mask_id", "class_name").join(folded, ["frame_id", "mask_id"], "left")
     said = H.consensus(F.col("labelers"))
     part = F.coalesce(said, F.when(F.size(F.coalesce("labelers", F.create_map().cast("map<string,string>"))) > 0, "tied").otherwise("pending"))

@@ -44,7 +44,7 @@ def consensus(spark, sf_dir):
  SELECT n, agreed, (n * agreed - products) / (n * n - products) AS kappa FROM m""")
 def cohen_kappa(spark, sf_dir):
     """Over masks that exactly two labelers judged, the earlier labeler's verdict first."""
-    folded = H.fold(_long(spark, sf_dir), ["frame_id", "mask_id"], "ord", "labeler", "verdict", ["class_name"])
+    folded = H.verdicts(_long(spark, sf_dir), ["frame_id", "mask_id"], "ord", "labeler", "verdict")
     said = F.map_values("labelers")
     return H.kappa(folded.where(F.size("labelers") == 2).select(F.get(said, 0).alias("a"), F.get(said, 1).alias("b")), "a", "b")
 

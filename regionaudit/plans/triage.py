@@ -36,6 +36,17 @@ def variant_rows(df: DataFrame, rules: dict | None = None) -> DataFrame:
     return df.select("*", F.inline(entries))
 
 
+def signatures(df: DataFrame, *keys: str) -> DataFrame:
+    """Regions that no rule tells apart as one row: n, px, and a score and support that stand for theirs.
+
+    Rules are then applied to some hundred rows, however many regions there are.
+    """
+    c = F.col
+    told = [(c("alpha_bp") >= R.UNIFORM_QUALITY_BP).alias("over"), c("lidar_pm").isNull().alias("unmeasured"), R.consistency_verdict(c("lidar_pm"), R.by_class(R.LIDAR_PM, R.UNIFORM_LIDAR_PM)).alias("support")]
+    grouped = df.groupBy("class_name", "bbox_a", "quality", "consistency", "bypass", *told, *keys)
+    return grouped.agg(F.min("alpha_bp").alias("alpha_bp"), F.min("lidar_pm").alias("lidar_pm"), F.count("*").alias("n"), F.sum("pixel_count").alias("px"))
+
+
 @query(f"WITH {REGIONS} SELECT class_name, stored_a AS decision, count(*) AS n, sum(pixel_count)::BIGINT AS px FROM regions GROUP BY ALL")
 def triage_matrix(spark, sf_dir):
     return regions(spark, sf_dir).groupBy("class_name", F.col("stored_a").alias("decision")).agg(F.count("*").alias("n"), F.sum("pixel_count").alias("px"))
@@ -43,7 +54,7 @@ def triage_matrix(spark, sf_dir):
 
 @query(f"{VARIANT_ROWS} SELECT variant, class_name, decision, count(*) AS n FROM v GROUP BY ALL")
 def variant_decisions(spark, sf_dir):
-    return variant_rows(regions(spark, sf_dir)).groupBy("variant", "class_name", "decision").agg(F.count("*").alias("n"))
+    return variant_rows(signatures(regions(spark, sf_dir))).groupBy("variant", "class_name", "decision").agg(F.sum("n").alias("n"))
 
 
 @query(f"""WITH {REGIONS} SELECT variant, decision, count(*) AS n FROM (SELECT unnest(['raw_sam', 'swin_only', 'triage']) AS variant,
@@ -59,14 +70,14 @@ _CELLS = """count(*) FILTER (keep AND ok) AS tp, count(*) FILTER (keep AND NOT o
 
 @query(f"{VARIANT_ROWS}, c AS (SELECT variant, {_CELLS} FROM (SELECT variant, decision <> 'reject' AS keep, human = 'correct' AS ok FROM v WHERE human IS NOT NULL) GROUP BY variant) SELECT *, {_RATES} FROM c")
 def variant_scores_vs_human(spark, sf_dir):
-    df = variant_rows(regions(spark, sf_dir).where("human IS NOT NULL"))
-    return rates(confusion(df, F.col("decision") != "reject", F.col("human") == "correct", "variant"))
+    df = variant_rows(signatures(regions(spark, sf_dir).where("human IS NOT NULL"), "human"))
+    return rates(confusion(df, F.col("decision") != "reject", F.col("human") == "correct", "variant", weight=F.col("n")))
 
 
 @query(f"{VARIANT_ROWS}, w AS (SELECT v.*, {VARIANTS_SQL['triage']} AS base FROM v) SELECT variant, class_name, base, decision, count(*) AS n, sum(pixel_count)::BIGINT AS px FROM w GROUP BY ALL")
 def variant_transitions(spark, sf_dir):
-    df = regions(spark, sf_dir).withColumn("base", R.variants()["triage"])
-    return variant_rows(df).groupBy("variant", "class_name", "base", "decision").agg(F.count("*").alias("n"), F.sum("pixel_count").alias("px"))
+    df = signatures(regions(spark, sf_dir)).withColumn("base", R.variants()["triage"])
+    return variant_rows(df).groupBy("variant", "class_name", "base", "decision").agg(F.sum("n").alias("n"), F.sum("px").alias("px"))
 
 
 _ASPECT = "((lidar_pm % 97 + 1) / (alpha_bp % 29 + 1))"
