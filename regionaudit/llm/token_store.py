@@ -9,6 +9,8 @@ Spark's own writer commits the files: a lost executor leaves no half-written seg
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,8 +27,11 @@ from ._text import byte_hashes, columns
 
 MAGIC = b"rans1"
 LANES, BLOCK, SCALE_BITS = 32, 1 << 15, 18
-#: A segment is closed by the document with which it has so many ids or more.
-SEGMENT = 1 << 21
+#: A segment is closed by the document with which it has so many ids or more.  A segment is a row, of some 2 MB: larger ones
+#: are held several times over by the JVM and its writers.
+SEGMENT = 1 << 20
+#: Bytes of texts that are tokenized at a time, in whole texts.
+AT_ONCE = 1 << 21
 END_ID = 2
 U = np.uint64
 _LOW = U(1 << 31)
@@ -302,6 +307,25 @@ def tokenize(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
 
 
+def runs(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Where runs of texts of ``most`` bytes (None: AT_ONCE) in all begin and end; a longer text is a run of its own."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low, most = 0, AT_ONCE if most is None else most
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, most + (ends[low - 1] if low else 0), "right")))
+        yield low, high
+        low = high
+
+
+def _release(known: bool = False) -> None:
+    """Gives memory back that Arrow and the C library hold freed; with ``known``, the pieces met so far too."""
+    if known:
+        _known.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- store -------------------------------------------------------------------------------------------------
 
 _SEGMENT = "part int, seq int, begins long, n_ids long, doc_ids array<{id}>, lengths array<long>, magic binary, symbols binary, freqs binary, states binary, offsets binary, words binary, crcs binary"
@@ -331,8 +355,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
         held = 0
         for batch in batches:
             kind = batch.schema.field(0).type
-            for low in range(0, batch.num_rows, 2048):
-                some = batch.slice(low, 2048)
+            for low, high in runs(batch.column(1)):
+                some = batch.slice(low, high - low)
                 every, at = tokenize(tokenizer_path, some.column(1))
                 for name, own in zip(some.column(0).to_pylist(), np.split(every, at[1:-1]), strict=True):
                     ids.append(np.concatenate([own, end]))
@@ -341,6 +365,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
                     if held >= SEGMENT:
                         yield closed()
                         begins, seq, ids, names, held = begins + held, seq + 1, [], [], 0
+                        _release()
         if ids:
             yield closed()
 
@@ -358,6 +383,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         at += totals[part]
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release(known=True)  # this worker may have written the store
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: batch.column(k)[i].as_py() for k in batch.schema.names if k != "doc_ids"}

@@ -199,6 +199,16 @@ def test_tokenize_as_the_library_does(monkeypatch):
         assert got == want[: len(got)]
 
 
+def test_texts_are_tokenized_in_runs_of_bounded_bytes(spark, tmp_path):
+    texts = pa.array(["a" * n for n in (3, 0, 4, 9, 1, 1, 1, 20)] + [None, "bb"])
+    assert list(token_store.runs(texts, 8)) == [(0, 3), (3, 4), (4, 7), (7, 8), (8, 10)]
+    assert list(token_store.runs(texts)) == [(0, 10)] and not list(token_store.runs(texts[:0]))
+    docs = spark.range(1200).selectExpr("id AS doc_id", "repeat(concat(' w', id), 900) AS text")
+    token_store.write_store(docs.coalesce(1), str(tmp_path / "s"), tokenizer_path())
+    rows = spark.read.parquet(str(tmp_path / "s")).selectExpr("n_ids", "size(doc_ids) AS docs", "array_max(lengths) AS longest").collect()
+    assert sum(r.docs for r in rows) == 1200 and max(r.n_ids - r.longest for r in rows) < 1 << 20  # rows of some 2 MB, whatever the task has
+
+
 def test_rans_round_trip_and_damage():
     rng = np.random.default_rng(1)
     for ids in (np.array([2]), rng.integers(0, 50257, 70000), np.minimum(rng.geometric(0.2, 100000), 40), np.full(1000, 7)):
